@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +48,14 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Equi-join on `key` where left may hold hot keys and right has few rows a key.
 
     Rows of a hot key are spread over ceil(rows/hot_rows) salts; the right rows of that key are copied to each salt.
-    how: inner, left, left_semi or left_anti. Null keys match nothing.
+    how: inner, left, left_semi or left_anti. Null keys match nothing. rows: the size of left where it is known.
     """
+    if rows is not None and rows <= hot_rows:
+        return left.join(right, key, how)
     hot = [(r[0], r[1]) for r in hot_keys(left, key, hot_rows).collect()]
     if not hot:
         return left.join(right, key, how)
@@ -89,22 +93,14 @@ def prefix_sum(
         "__b", F.shiftrightunsigned("__h", 64 - (buckets - 1).bit_length()).cast("int")
     )
     sums = b.groupBy(*group, "__b").agg(F.sum("__v").alias("__s"))
-    before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1) if group else (
-        W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    # At most `buckets` rows of a group are left here.
+    before = F.sum("__s").over(earlier.orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    names = [f"__g{i}" for i in range(len(group))]
+    start = sums.select(
+        *[F.col(g).alias(n) for g, n in zip(group, names)], F.col("__b").alias("__b2"), F.coalesce(before, F.lit(0)).alias("__start")
     )
-    # A group has at most `buckets` rows here.
-    start = sums.select(*group, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"))
     inner = W.partitionBy(*group, "__b").orderBy("__h", *order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = b.withColumn(into, F.sum("__v").over(inner))
-    cond = [own[g].eqNullSafe(start[g]) for g in group] + [own["__b"] == start["__b"]]
-    joined = own.join(start, [*cond][0] if len(cond) == 1 else _all(cond), "inner")
-    return joined.select(
-        *[own[c] for c in df.columns], (own[into] + start["__start"]).alias(into)
-    )
-
-
-def _all(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+    own = b.withColumn("__own", F.sum("__v").over(inner))
+    on = reduce(and_, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)], F.col("__b") == F.col("__b2"))
+    return own.join(start, on, "inner").select(*df.columns, (F.col("__own") + F.col("__start")).alias(into))
