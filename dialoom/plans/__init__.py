@@ -1 +1 @@
-
+"""Named queries over the tables, and the SQL that answers them."""
