@@ -65,10 +65,9 @@ def match_key(text: Column) -> Column:
     return F.when(t != "", t)
 
 
-def grams(tokens: Column, k: int) -> Column:
-    """64-bit hashes of every run of k tokens, in order; empty when there are fewer."""
-    n = F.size(tokens)
-    return F.when(
-        n >= k,
-        F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, k))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def grams(tokens: Column, k: int | Column) -> Column:
+    """64-bit hashes of every run of k tokens, in order; empty when there are fewer. Tokens are hashed once each."""
+    n = F.size(tokens) - k + 1
+    h = F.transform(tokens, lambda w: F.xxhash64(w))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, k if isinstance(k, Column) else F.lit(k))))
+    return F.when((n > 0) & (F.size(tokens) > 0), runs).otherwise(F.array().cast("array<bigint>"))
