@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import leakage, overlap, sentences, splits
+from dialoom.llm import leakage, overlap, repetition, sentences, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": splits.p1_found,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_split_report": splits.p1_split_report,
     "p2_found": overlap.p2_found,
     "p2_report": overlap.p2_report,
+    "p3_found": repetition.p3_found,
+    "p3_shares": repetition.p3_shares,
     "p4_found": sentences.p4_found,
     "p4_sentences": sentences.p4_sentences,
     "p6_found": leakage.p6_found,
