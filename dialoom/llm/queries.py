@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import leakage, overlap, repetition, sentences, splits
+from dialoom.llm import leakage, mixing, overlap, repetition, sampling, sentences, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": splits.p1_found,
@@ -18,8 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_shares": repetition.p3_shares,
     "p4_found": sentences.p4_found,
     "p4_sentences": sentences.p4_sentences,
+    "p5_found": sampling.p5_found,
+    "p5_report": sampling.p5_report,
+    "p5_sample": sampling.p5_sample,
     "p6_found": leakage.p6_found,
     "p6_leaked_turns": leakage.p6_leaked_turns,
+    "p8_found": mixing.p8_found,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
 }
 
 ORACLE_SQL: dict[str, str] = {}
