@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import leakage, mixing, overlap, repetition, sampling, sentences, splits
+from dialoom.llm import leakage, mixing, overlap, packing, repetition, sampling, sentences, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": splits.p1_found,
@@ -23,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_sample": sampling.p5_sample,
     "p6_found": leakage.p6_found,
     "p6_leaked_turns": leakage.p6_leaked_turns,
+    "p7_found": packing.p7_found,
+    "p7_containers": packing.p7_containers,
+    "p7_fill": packing.p7_fill,
     "p8_found": mixing.p8_found,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
