@@ -16,8 +16,9 @@ from dialoom.llm.records import table
 TERMINATORS = ".!?…。！？؟।॥．｡"
 PLACEHOLDERS = "".join(chr(0xE001 + i) for i in range(len(TERMINATORS)))
 DOT = PLACEHOLDERS[0]
-OPEN, SHUT, END = "", "", ""
-GAP = r"[^\S\n]"  # space that is no line break
+OPEN, SHUT, END = chr(0xE0FE), chr(0xE0FF), chr(0xE0F0)
+BLANK = r" \t\x0b\x0c\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+GAP, INK = f"[{BLANK}]", rf"[^{BLANK}\r\n\x{{2028}}\x{{2029}}]"  # space that is no line break; what shows
 CLOSERS = r"""["'”’»」』)\]）】›*_~`]"""
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B50}\x{FE0F}\x{200D}]"
 TAIL = rf"{CLOSERS}*+(?:{GAP}*+{EMOJI}++)*+"
@@ -39,66 +40,84 @@ GOES_ON = "and or at be the is was were in on when pour und y et for to from wit
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
 _SPANS = "|".join([
-    r"(?:https?://|www\.)[^\s぀-鿿＀-￯]*[^\s぀-鿿＀-￯.!?,;:'\"”»’)\]]",
+    r"(?:https?://|www\.)[^\s\x{3040}-\x{9fff}\x{ff00}-\x{ffef}]*[^\s\x{3040}-\x{9fff}\x{ff00}-\x{ffef}.!?,;:'\"”»’)\]]",
     r"(?<!\d)\"[^\"\n]*\"", "“[^”\n]*”", "„[^“”\n]*[“”]", "«[^»\n]*»", "‹[^›\n]*›", "「[^」\n]*」", "『[^』\n]*』",
     r"\([^()\n]*\)", "（[^（）\n]*）", r"\[[^\[\]\n]*\]", "【[^】\n]*】",
 ])
-_WORD_BEFORE = rf"(?<![\p{{L}}\p{{N}}\p{{M}}.{DOT}])"
+_MAY_SPAN = r"[\"“„«‹「『(（\[【]|://|www\."
+_ALONE, _START = r"(?<![\p{L}\p{N}\p{M}.])", r"(?<![\p{L}\p{N}])"
 
 
 def _any(words: list[str]) -> str:
-    """The words as alternatives, longest first; soft hyphens may stand between letters, inner dots may be masked."""
-    one = lambda w: "­?".join(f"[.{DOT}]" if c == "." else "-" if c == "-" else c for c in w)
+    """The words as alternatives, longest first; soft hyphens may stand between letters."""
+    one = lambda w: "\u00ad?".join(r"\." if c == "." else c for c in w)
     return "(?:" + "|".join(one(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
+def _dots(may_end: str, mid: str) -> str:
+    """A dot that ends no sentence. The dot is tried first, so that the text around it is looked at nowhere else."""
+    return r"\.(?:" + "|".join([
+        r"(?=\d)(?<=\d\.)",
+        rf"(?={GAP}(?iu:{'|'.join(MONTHS)})\b)(?<=\d\.)",
+        # Dotted and spaced initials: e.g. U.S. J. K. z. B. т. е.
+        rf"(?=\p{{L}}\.)(?<={_ALONE}\p{{L}}\.)",
+        r"(?=\p{L})(?<=\.\p{L}\.)",
+        rf"(?={GAP}\p{{L}}{{1,2}}\.)(?<={_ALONE}\p{{L}}\.)",
+        rf"(?={GAP}*{INK})(?<={_START}\p{{L}}\.{GAP}\p{{L}}{{1,2}}\.)",
+        # One initial: at the start of a line or sentence, behind a capitalised word, or the French title.
+        rf"(?={GAP}+\p{{L}})(?<!(?<!\p{{L}})I\.)(?:(?<=(?m:^){GAP}{{0,9}}\p{{L}}\.)|(?<=[{TERMINATORS}]{GAP}{{1,3}}\p{{L}}\.)"
+        rf"|(?<=\p{{Lu}}\p{{Ll}}{{1,20}}{GAP}\p{{L}}\.)|(?<={GAP}[Mm]\.))",
+        rf"(?={GAP}*{INK})(?<={_START}(?iu:{_any(ALWAYS)})\.)",
+        rf"(?={GAP}*\d)(?<={_ALONE}(?iu:{_any(BEFORE_NUMBER)})\.)",
+        rf"(?={GAP}+\p{{Lu}})(?<={_ALONE}{_any(BEFORE_CAPITAL)}\.)",
+        rf"(?={may_end})(?<={_START}(?iu:{_any(MAY_END)})\.)",
+        # Dots before a word in mid-sentence.
+        rf"(?=\.+{GAP}*{mid})",
+        rf"(?={GAP}*{mid})(?<=\.\.)",
+    ]) + ")"
+
+
+_CASELESS = rf"[\p{{Ll}}\p{{Lo}}&&[^{UNSPACED}]]"
+_ON = rf"[,;:)]|{GAP}+(?iu:{_any(GOES_ON)})(?![\p{{L}}\p{{N}}])"
+
+
 def masked(text: Column) -> Column:
     """The text with line breaks as \\n and placeholders for terminators that end nothing; as long as the text."""
-    t = F.translate(text, "\r\u000b\u000c\u0085  ", "\n\n\n\n\n\n")
-    parts = F.split(F.regexp_replace(t, f"(?U){_SPANS}", f"{OPEN}$0{SHUT}"), OPEN)
+    sub = F.regexp_replace
+    t = F.when(text.rlike(r"[\r\x0b\x0c\x{85}\x{2028}\x{2029}]"), F.translate(text, "\r\x0b\x0c\x85\u2028\u2029", "\n" * 6)).otherwise(text)
+    parts = F.split(sub(t, _SPANS, f"{OPEN}$0{SHUT}"), OPEN)
     inside = lambda p: F.translate(F.substring_index(p, SHUT, 1), TERMINATORS, PLACEHOLDERS)
     spans = F.array_join(
         F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(inside(p), F.substring_index(p, SHUT, -1)))), ""
     )
-    t = F.when(t.rlike(f"(?U){_SPANS}"), spans).otherwise(t)
-    sub = lambda t, rx, to=f"$1{DOT}": F.regexp_replace(t, f"(?U){rx}", to)
-    t = sub(t, r"(?<=\d)\.(?=\d)", DOT)
-    t = sub(t, rf"(?i)(?<=\d)\.(?={GAP}(?:{'|'.join(MONTHS)})\b)", DOT)
-    # Dotted and spaced initials: e.g. U.S. J. K. z. B. т. е.
-    t = sub(t, rf"{_WORD_BEFORE}(\p{{L}})\.(?=\p{{L}}\.)")
-    t = sub(t, rf"(?<={DOT})(\p{{L}})\.(?=\p{{L}})")
-    t = sub(t, rf"{_WORD_BEFORE}(\p{{L}})\.(?={GAP}\p{{L}}{{1,2}}\.)")
-    t = sub(t, rf"(?<=(?<![\p{{L}}\p{{N}}])\p{{L}}{DOT}{GAP})(\p{{L}}{{1,2}})\.(?={GAP}*\S)")
-    # One initial: at the start of a sentence, behind a capitalised word, or the French title.
-    t = sub(t, rf"(?m)(?:(?<=^{GAP}{{0,9}})|(?<=[{TERMINATORS}]{GAP}{{1,3}})|(?<=\p{{Lu}}\p{{Ll}}{{1,20}}{GAP})|(?<={GAP})(?=[Mm]\.))((?!I\.)\p{{L}})\.(?={GAP}+\p{{L}})")
-    t = sub(t, rf"(?i)(?<![\p{{L}}\p{{N}}])({_any(ALWAYS)})\.(?={GAP}*[^\s])")
-    t = sub(t, rf"(?i){_WORD_BEFORE}({_any(BEFORE_NUMBER)})\.(?={GAP}*\d)")
-    t = sub(t, rf"{_WORD_BEFORE}({_any(BEFORE_CAPITAL)})\.(?={GAP}+\p{{Lu}})")
-    may = rf"(?i:(?<![\p{{L}}\p{{N}}])({_any(MAY_END)}))\."
-    on = rf"(?i:{_any(GOES_ON)})(?![\p{{L}}\p{{N}}])"
-    plain = ~text.rlike(r"\p{Ll}") | text.rlike(r"^[^\p{L}]*\p{Ll}")  # all capitals, or begun without one
-    t = F.when(plain, sub(t, rf"{may}(?=[,;:)]|{GAP}+{on})")).otherwise(sub(t, rf"{may}(?=[,;:)]|{GAP}+\p{{Ll}})"))
+    t = F.when(t.rlike(_MAY_SPAN), spans).otherwise(t)
+    # In text begun without a capital, or all in capitals, only certain words show that the sentence goes on.
+    dots = (
+        F.when(~text.rlike(r"\p{Ll}"), sub(t, _dots(_ON, r"[\p{Lu}\p{Lo}]"), DOT))
+        .when(text.rlike(r"^[^\p{L}]*\p{Ll}"), sub(t, _dots(_ON, _CASELESS), DOT))
+        .otherwise(sub(t, _dots(rf"[,;:)]|{GAP}+\p{{Ll}}", _CASELESS), DOT))
+    )
     # List numbers, on a new line or behind a sentence end.
-    t = sub(t, rf"(?m)(^{GAP}*(?:[-*•–—]{GAP}*)?\d{{1,3}})\.(?={GAP})")
-    t = sub(t, rf"(?<=[{TERMINATORS}]{CLOSERS}{{0,2}}\s{{1,3}})(\d{{1,3}})\.(?={GAP}+\p{{L}})")
-    # Dots before a word in mid-sentence: the word is not capitalised, or its script or the text has no case to tell by.
-    word = lambda k: rf"\.(?=\.+{GAP}*{k})|(?<=\.)\.(?={GAP}*{k})|(?<!…)…(?=(?!…){GAP}*{k})"
-    t = sub(t, word(rf"[\p{{Ll}}\p{{Lo}}&&[^{UNSPACED}]]"), DOT)
-    t = sub(t, rf"(?<!…)…(?=[{UNSPACED}])", DOT)
-    return F.when(~text.rlike(r"\p{Ll}"), sub(t, word(r"\p{Lu}"), DOT)).otherwise(t)
+    number = (
+        rf"\.(?={GAP})(?:(?<=(?m:^){GAP}{{0,9}}(?:[-*•–—]{GAP}{{0,3}})?\d{{1,3}}\.)"
+        rf"|(?={GAP}+\p{{L}})(?<=[{TERMINATORS}]{CLOSERS}{{0,2}}[{BLANK}\n]{{1,3}}\d{{1,3}}\.))"
+    )
+    t = F.when(text.contains("."), sub(dots, number, DOT)).otherwise(t)
+    one = rf"…(?!…)(?<!……)(?:(?={GAP}*{_CASELESS})|(?=[{UNSPACED}]))"
+    return F.when(text.contains("…"), sub(t, one, PLACEHOLDERS[TERMINATORS.index("…")])).otherwise(t)
 
 
 def marked(text: Column) -> Column:
     """The masked text with END after each sentence and line."""
-    sub = lambda t, rx: F.regexp_replace(t, f"(?U){rx}", f"$0{END}")
+    sub = lambda t, rx: F.regexp_replace(t, rx, f"$0{END}")
     t = masked(text)
     t = sub(t, rf"(?=[.…]*[!?。！？؟।॥．｡…])[{TERMINATORS}]++{TAIL}(?![,;:，、،])")
-    t = sub(t, rf"\.++{TAIL}(?=\s|$|[{UNSPACED}])")
-    t = sub(t, r"(?<=[\p{Ll}\p{N}][\p{Ll}\p{N}])\.(?=\p{Lu}\p{Ll})")
+    t = sub(t, rf"\.++{TAIL}(?={GAP}|\n|$|[{UNSPACED}])|\.(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{N}}][\p{{Ll}}\p{{N}}]\.)")
     # A quotation that closes with a terminator ends the sentence it stands at the end of, if a new one begins behind it.
-    t = sub(t, rf"(?<=[\p{{L}},:]{GAP}{{1,2}})[\"“«][^\"”»\n]*[{PLACEHOLDERS}]{GAP}?[\"”»](?={GAP}+\p{{Lu}}\p{{Ll}})")
-    t = sub(t, rf"(?<=[฀-๿]){GAP}++(?=[฀-๿])")
-    return sub(t, r"\n")
+    quoted = rf"(?<=[\p{{L}},:]{GAP}{{1,2}})[\"“«][^\"”»\n]*[{PLACEHOLDERS}]{GAP}?[\"”»](?={GAP}+\p{{Lu}}\p{{Ll}})"
+    t = F.when(text.rlike("[\"”»]"), sub(t, quoted)).otherwise(t)
+    t = F.when(text.rlike(r"[\x{e00}-\x{e7f}]"), sub(t, rf"(?<=[\x{{e00}}-\x{{e7f}}]){GAP}++(?=[\x{{e00}}-\x{{e7f}}])")).otherwise(t)
+    return F.replace(t, F.lit("\n"), F.lit(f"\n{END}"))
 
 
 def sentence_spans(text: Column) -> Column:
@@ -106,12 +125,14 @@ def sentence_spans(text: Column) -> Column:
 
     Null and blank texts have none. A piece without letters or digits is a sentence only if its line holds nothing else.
     """
-    pieces = F.split(marked(text), END)
+    total = F.length(text)
+    kind = "array<struct<start:int,len:int,word:boolean,alone:boolean>>"
     sized = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int,word:boolean,line:boolean>>").alias("out")),
+        F.split(marked(text), END),
+        F.struct(F.lit(0).alias("at"), F.lit(True).alias("fresh"), F.array().cast(kind).alias("out")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p)).alias("at"),
+            p.endswith("\n").alias("fresh"),
             F.concat(
                 acc["out"],
                 F.array(
@@ -119,15 +140,13 @@ def sentence_spans(text: Column) -> Column:
                         (acc["at"] + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).cast("int").alias("start"),
                         F.length(F.regexp_replace(p, r"(?U)^\s+|\s+$", "")).alias("len"),
                         p.rlike(r"[\p{L}\p{N}]").alias("word"),
-                        p.endswith("\n").alias("line"),
+                        (acc["fresh"] & (p.endswith("\n") | (acc["at"] + F.length(p) == total))).alias("alone"),
                     )
                 ),
             ).alias("out"),
         ),
     )["out"]
-    n = F.size(sized)
-    alone = lambda i: ((i == 0) | F.try_element_at(sized, i)["line"]) & (F.try_element_at(sized, i + 1)["line"] | (i + 1 == n))
-    kept = F.filter(sized, lambda s, i: (s["len"] > 0) & (s["word"] | alone(i)))
+    kept = F.filter(sized, lambda s: (s["len"] > 0) & (s["word"] | s["alone"]))
     spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len")))
     return F.when(text.rlike(r"(?U)\S"), spans)
 
