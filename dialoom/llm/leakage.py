@@ -2,7 +2,7 @@
 
 Pigeonhole edit matching over words. A passage of `window` words with at most k edits, cut into k + 1 pieces, holds at
 least one piece unchanged. Pieces of all evaluation passages are looked up among the runs of as many words in the corpus;
-each hit is verified with Myers' bit-parallel distance of the passage against the corpus text around it.
+each passage around a hit is verified with Myers' bit-parallel distance against the corpus text.
 """
 
 from __future__ import annotations
@@ -49,22 +49,25 @@ def myers(pattern: list, text: list) -> int:
 def _verify(window: int, errors: int):
     piece = window // (errors + 1)
 
+    def least(item: list[str], doc: list[str], hits: set[int]) -> int:
+        """Least distance to doc of the item's passages that hold one of the hit pieces, wherever in the item it stands."""
+        grams = {tuple(item[i : i + piece]) for i in hits}
+        best, seen = errors + 1, set()
+        for i in range(len(item) - piece + 1) if errors else sorted(hits):
+            if tuple(item[i : i + piece]) not in grams:
+                continue
+            for w in range(max(0, i - window + piece), min(i, len(item) - window) + 1):
+                passage = tuple(item[w : w + window])
+                if passage not in seen:
+                    seen.add(passage)
+                    best = min(best, myers(list(passage), doc))
+                    if not best:
+                        return 0
+        return best
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            best = []
-            for item, doc, hits in zip(d["item_words"], d["doc_words"], d["hits"]):
-                item, doc, least = item.split(" "), doc.split(" "), errors + 1
-                for h in hits:
-                    i, j = h["i"], h["j"]
-                    for w in range(max(0, i - window + piece), min(i, len(item) - window) + 1):
-                        low = max(0, j - (i - w) - errors)
-                        least = min(least, myers(item[w : w + window], doc[low : j - (i - w) + window + errors]))
-                        if not least:
-                            break
-                    if not least:
-                        break
-                best.append(least)
-            d["distance"] = best
+            d["distance"] = [least(a.split(" "), b.split(" "), set(h)) for a, b, h in zip(d["item_words"], d["doc_words"], d["hits"])]
             yield d.loc[d["distance"] <= errors, ["item", "doc", "pos", "distance"]]
 
     return run
@@ -81,12 +84,14 @@ def leaked_passages(items: DataFrame, corpus: DataFrame, window: int = WINDOW, e
     iw = items.select("item", words(F.col("text")).alias("w")).filter(F.size("w") >= window)
     iw = cut(iw.select("item", F.array_join("w", " ").alias("t")).distinct())
     classes = cut(iw.select("t").distinct().withColumn("c", F.monotonically_increasing_id()))
-    pieces = cut(classes.select("c", F.posexplode(grams(F.split("t", " "), piece)).alias("i", "g")))
+    # A piece that an item or a text repeats is looked up once.
+    pieces = classes.select("c", F.posexplode(grams(F.split("t", " "), piece)).alias("i", "g"))
+    pieces = cut(pieces.groupBy("c", "g").agg(F.min("i").alias("i")))
     spoken = corpus.select("doc", "pos", words(F.col("text")).alias("w"))
-    runs = spoken.select("doc", "pos", F.posexplode(grams(F.col("w"), piece)).alias("j", "g"))
+    runs = spoken.select("doc", "pos", F.explode(F.array_distinct(grams(F.col("w"), piece))).alias("g"))
     n = pieces.count()
     hits = runs.join(F.broadcast(pieces), "g") if n <= BROADCAST_ROWS else salted_join(runs, pieces, "g")
-    hits = cut(hits.groupBy("doc", "pos", "c").agg(F.collect_set(F.struct("i", "j")).alias("hits")))
+    hits = cut(hits.groupBy("doc", "pos", "c").agg(F.collect_set("i").alias("hits")))
     docs = hits.select("doc", "pos").distinct()
     if docs.count() <= BROADCAST_ROWS:
         docs = F.broadcast(docs)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import leakage, mixing, overlap, packing, repetition, sampling, sentences, splits
+from dialoom.llm import leakage, mixing, overlap, packing, quality, repetition, sampling, sentences, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": splits.p1_found,
@@ -29,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": mixing.p8_found,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
+    "p9_found": quality.p9_found,
+    "p9_quality": quality.p9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

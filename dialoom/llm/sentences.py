@@ -72,7 +72,7 @@ def _dots(may_end: str, mid: str) -> str:
         rf"(?={GAP}+\p{{Lu}})(?<={_ALONE}{_any(BEFORE_CAPITAL)}\.)",
         rf"(?={may_end})(?<={_START}(?iu:{_any(MAY_END)})\.)",
         # Dots before a word in mid-sentence.
-        rf"(?=\.+{GAP}*{mid})",
+        rf"(?=\.{{1,9}}+{GAP}*{mid})",
         rf"(?={GAP}*{mid})(?<=\.\.)",
     ]) + ")"
 
@@ -111,8 +111,8 @@ def marked(text: Column) -> Column:
     """The masked text with END after each sentence and line."""
     sub = lambda t, rx: F.regexp_replace(t, rx, f"$0{END}")
     t = masked(text)
-    t = sub(t, rf"(?=[.…]*[!?。！？؟।॥．｡…])[{TERMINATORS}]++{TAIL}(?![,;:，、،])")
-    t = sub(t, rf"\.++{TAIL}(?={GAP}|\n|$|[{UNSPACED}])|\.(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{N}}][\p{{Ll}}\p{{N}}]\.)")
+    t = sub(t, rf"(?<![{TERMINATORS}])(?=[.…]*+[!?。！？؟।॥．｡]|…)[{TERMINATORS}]++{TAIL}(?![,;:，、،])")
+    t = sub(t, rf"(?<!\.)\.++{TAIL}(?={GAP}|\n|$|[{UNSPACED}])|\.(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{N}}][\p{{Ll}}\p{{N}}]\.)")
     # A quotation that closes with a terminator ends the sentence it stands at the end of, if a new one begins behind it.
     quoted = rf"(?<=[\p{{L}},:]{GAP}{{1,2}})[\"“«][^\"”»\n]*[{PLACEHOLDERS}]{GAP}?[\"”»](?={GAP}+\p{{Lu}}\p{{Ll}})"
     t = F.when(text.rlike("[\"”»]"), sub(t, quoted)).otherwise(t)
@@ -120,41 +120,50 @@ def marked(text: Column) -> Column:
     return F.replace(t, F.lit("\n"), F.lit(f"\n{END}"))
 
 
-def sentence_spans(text: Column) -> Column:
-    """Array of (start, length): 0-based code point offsets of the sentences of a text, in order.
-
-    Null and blank texts have none. A piece without letters or digits is a sentence only if its line holds nothing else.
-    """
-    total = F.length(text)
-    kind = "array<struct<start:int,len:int,word:boolean,alone:boolean>>"
-    sized = F.aggregate(
-        F.split(marked(text), END),
-        F.struct(F.lit(0).alias("at"), F.lit(True).alias("fresh"), F.array().cast(kind).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            p.endswith("\n").alias("fresh"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).cast("int").alias("start"),
-                        F.length(F.regexp_replace(p, r"(?U)^\s+|\s+$", "")).alias("len"),
-                        p.rlike(r"[\p{L}\p{N}]").alias("word"),
-                        (acc["fresh"] & (p.endswith("\n") | (acc["at"] + F.length(p) == total))).alias("alone"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
+def _spans(pieces: Column, total: Column) -> Column:
+    """(start, len) of the sentences among the pieces. Runs of pieces are measured in groups, so that long texts stay linear."""
+    one = "array<struct<start:int,len:int,word:boolean,alone:boolean>>"
+    group = 256
+
+    def step(acc: Column, p: Column) -> Column:
+        size = F.length(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+        s = F.struct(
+            (acc["at"] + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).cast("int").alias("start"),
+            size.alias("len"),
+            p.rlike(r"[\p{L}\p{N}]").alias("word"),
+            (acc["fresh"] & (p.endswith("\n") | (acc["at"] + F.length(p) == total))).alias("alone"),
+        )
+        return F.struct(
+            (acc["at"] + F.length(p)).alias("at"), p.endswith("\n").alias("fresh"),
+            F.when(F.trim(p) == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(s))).alias("out"),
+        )
+
+    def steps(acc: Column, g: Column) -> Column:
+        inner = F.aggregate(
+            F.slice(pieces, g * group + 1, group),
+            F.struct(acc["at"].alias("at"), acc["fresh"].alias("fresh"), F.array().cast(one).alias("out")),
+            step,
+        )
+        return F.struct(inner["at"].alias("at"), inner["fresh"].alias("fresh"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("fresh"), F.array().cast(f"array<{one}>").alias("out"))
+    groups = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / group).cast("int"))
+    sized = F.when(
+        F.size(pieces) <= group, F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit(True).alias("fresh"), F.array().cast(one).alias("out")), step)["out"]
+    ).otherwise(F.flatten(F.aggregate(groups, start, steps, lambda acc: acc["out"])))
     kept = F.filter(sized, lambda s: (s["len"] > 0) & (s["word"] | s["alone"]))
-    spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len")))
-    return F.when(text.rlike(r"(?U)\S"), spans)
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len")))
 
 
 def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row a sentence: the other columns, sent_no, sent_start, sentence. Rows without sentences give none."""
-    spans = texts.withColumn("__spans", sentence_spans(F.col(text)))
-    return spans.select(*texts.columns, F.posexplode("__spans").alias("sent_no", "__s")).select(
+    """One row a sentence: the other columns, sent_no, sent_start (0-based, in code points), sentence.
+
+    Null and blank texts have none, so their rows vanish. A piece without letters or digits is a sentence only if its line
+    holds nothing else. Repeated rows are split each.
+    """
+    d = texts.withColumn("__p", F.split(marked(F.col(text)), END)).withColumn("__n", F.length(text))
+    d = d.filter(F.col(text).rlike(r"(?U)\S")).withColumn("__spans", _spans(F.col("__p"), F.col("__n")))
+    return d.select(*texts.columns, F.posexplode("__spans").alias("sent_no", "__s")).select(
         *[c for c in texts.columns if c != text], "sent_no", F.col("__s.start").alias("sent_start"),
         F.substring(F.col(text), F.col("__s.start") + 1, F.col("__s.len")).alias("sentence"),
     )
