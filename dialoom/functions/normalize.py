@@ -7,6 +7,7 @@ rows that hold a character whose compatibility form differs, which a JVM regex d
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,9 +66,18 @@ def match_key(text: Column) -> Column:
     return F.when(t != "", t)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once; inside a lambda an expression would be computed anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def grams(tokens: Column, k: int | Column) -> Column:
     """64-bit hashes of every run of k tokens, in order; empty when there are fewer. Tokens are hashed once each."""
-    n = F.size(tokens) - k + 1
-    h = F.transform(tokens, lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, k if isinstance(k, Column) else F.lit(k))))
-    return F.when((n > 0) & (F.size(tokens) > 0), runs).otherwise(F.array().cast("array<bigint>"))
+    k = k if isinstance(k, Column) else F.lit(k)
+
+    def runs(h: Column) -> Column:
+        n = F.size(h) - k + 1
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, k)))
+        return F.when((n > 0) & (F.size(h) > 0), every).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), runs)
