@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.functions.normalize import UNSPACED, grams, words
+from dialoom.functions.normalize import UNSPACED, grams, let, words
 from dialoom.llm.sentences import message_texts
 
 #: Rows the model is fitted on: a sample by hash, and as many made repetitive from it.
@@ -37,14 +37,17 @@ def content_words(text: Column) -> Column:
 def features(docs: DataFrame) -> DataFrame:
     """Adds the statistics to docs(..., text, w), w being the words; all from built-in functions."""
     n = F.size("w")
-    ratio = lambda a: F.when(F.size(a) > 0, F.size(F.array_distinct(a)) / F.size(a)).otherwise(F.lit(1.0))
+    ratio = lambda a: let(a, lambda x: F.when(F.size(x) > 0, F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(1.0)))
     lines = F.filter(
         F.transform(F.split("text", rf"[\n.!?…。！？؟।]+|(?<=[฀-๿]) +"), lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{M}]+", "")),
         lambda s: s != "",
     )
     hashed = F.transform("w", lambda x: F.xxhash64(x))
     d = docs.withColumn("__h", hashed).withColumn("__l", F.transform(lines, lambda s: F.xxhash64(s)))
-    same = F.size(F.filter(F.transform("__h", lambda x, i: (i > 0) & (x == F.try_element_at("__h", F.greatest(i, F.lit(1))))), lambda b: b))
+    same = let(
+        F.col("__h"),
+        lambda h: F.size(F.filter(F.transform(h, lambda x, i: (i > 0) & (x == F.try_element_at(h, F.greatest(i, F.lit(1))))), lambda b: b)),
+    )
     return d.select(
         *docs.columns,
         ratio(F.col("__h")).alias("distinct_words"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.functions.normalize import UNSPACED
+from dialoom.functions.normalize import UNSPACED, let
 from dialoom.llm.records import table
 
 TERMINATORS = ".!?…。！？؟।॥．｡"
@@ -162,7 +162,7 @@ def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
     holds nothing else. Repeated rows are split each.
     """
     d = texts.withColumn("__p", F.split(marked(F.col(text)), END)).withColumn("__n", F.length(text))
-    d = d.filter(F.col(text).rlike(r"(?U)\S")).withColumn("__spans", _spans(F.col("__p"), F.col("__n")))
+    d = d.filter(F.col(text).rlike(r"(?U)\S")).withColumn("__spans", let(F.col("__p"), lambda p: _spans(p, F.col("__n"))))
     return d.select(*texts.columns, F.posexplode("__spans").alias("sent_no", "__s")).select(
         *[c for c in texts.columns if c != text], "sent_no", F.col("__s.start").alias("sent_start"),
         F.substring(F.col(text), F.col("__s.start") + 1, F.col("__s.len")).alias("sentence"),
