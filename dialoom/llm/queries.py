@@ -33,4 +33,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_quality": quality.p9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SOURCE = "nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g'), '')"
+
+# The others are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": """with ids as (select distinct id, regexp_extract(id, '^(.+)_([a-z]+)_(\\d+)$', 1) as split,
+        regexp_extract(id, '^(.+)_([a-z]+)_(\\d+)$', 2) as category from convs),
+      have as (select split, category, count(*) as n from ids group by 1, 2)
+      select distinct t.split, t.category from category_targets t left join have h on h.split = t.split and h.category = t.category
+      where coalesce(h.n, 0) < greatest(coalesce(min_rows, 0)::double, coalesce(target_share * sample_rows, 0))""",
+    "p7_found": """select distinct plan_name, doc_id from documents, pack_plan
+      where coalesce(octet_length(encode(text)), 0) > capacity_tokens""",
+    "p8_found": f"""with d as (select {_SOURCE} as s, sum(coalesce(octet_length(encode(text)), 0)) as n from documents group by 1)
+      select distinct mix_name, source from mix_plan left join d on d.s = {_SOURCE}
+      where coalesce(max_repeats, 0) * coalesce(n, 0) < coalesce(target_share * total_tokens, 0)""",
+}
