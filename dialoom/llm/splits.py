@@ -1,8 +1,8 @@
 """Problem 1: splits that keep related records together.
 
-Records are tied by shared keys. Components come from contraction: each round every component takes the smallest
-component it shares a key with, pointers are doubled once, and keys held by one component only are dropped, so the
-edges shrink by a constant factor a round. Splits come from a min-cost flow over bundles of like components.
+Records are tied by shared keys. Components come from contraction: each round orders the components at random, every
+component joins the first it shares a key with, pointers are doubled once, and keys held by one component only are
+dropped, so the edges shrink by a constant factor a round. Splits come from a min-cost flow over bundles of like components.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     ids = live.select(F.col("node").alias("id"), "node").distinct()
     moves: list[DataFrame] = []
     while True:
-        keys = live.groupBy("key").agg(F.min("node").alias("to"), F.max("node").alias("hi")).filter("to <> hi").select("key", "to")
-        live = cut(salted_join(live, keys, "key"))
+        # Another order of the nodes each round, so that no chain of ids is in order.
+        place = F.struct(F.xxhash64(F.lit(len(moves)), "node").alias("h"), F.col("node").alias("node"))
+        keys = live.groupBy("key").agg(F.min(place).alias("to"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        live = cut(salted_join(live, keys.filter("lo <> hi").select("key", "to"), "key"))
         n = live.count()
         if not n:
             break
-        step = live.groupBy("node").agg(F.min("to").alias("to")).filter("to < node")
-        step = cut(step)
+        step = live.groupBy("node").agg(F.min("to").alias("to")).select("node", F.col("to.node").alias("to"))
+        step = cut(step.filter("to <> node"))
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
         step = cut(salted_join(step, jump, "to", "left", rows=n).select("node", F.coalesce("further", "to").alias("to")))
         moves.append(step)
@@ -48,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
     out = ids
     for step in moves:
         out = salted_join(out, step, "node", "left").select("id", F.coalesce("to", "node").alias("node"))
-    return out.select("id", F.col("node").alias("component"))
+    out = cut(out)
+    return salted_join(out, out.groupBy("node").agg(F.min("id").alias("component")), "node").select("id", "component")
 
 
 class Flow:
