@@ -34,9 +34,10 @@ def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
         spare = len(a) + len(b) - k
         if spare <= 0:
             c = a + b
-        else:  # the `spare` smallest sums of a each take one of b, the smallest of a the largest of b
-            head, low = a[: len(a) - spare], a[len(a) - spare :]
-            c = head + [(x + y, p + q) for (x, p), (y, q) in zip(reversed(low), b)] + b[spare:] if spare <= len(b) else None
+        else:  # only the smallest `spare` sums of either meet: the larger of a with the smaller of b
+            own, other = len(a) - spare, len(b) - spare
+            met = [(x + y, p + q) for (x, p), (y, q) in zip(a[own:], reversed(b[other:]))]
+            c = a[:own] + met + b[:other]
         c.sort(key=lambda z: -z[0])
         n += 1
         heapq.heappush(heap, (-(c[0][0] - (c[-1][0] if len(c) == k else 0)), n, c))
