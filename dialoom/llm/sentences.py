@@ -66,7 +66,7 @@ def _dots(may_end: str, mid: str) -> str:
         rf"(?={GAP}*{INK})(?<={_START}\p{{L}}\.{GAP}\p{{L}}{{1,2}}\.)",
         # One initial: at the start of a line or sentence, behind a capitalised word, or the French title.
         rf"(?={GAP}+\p{{L}})(?<!(?<!\p{{L}})I\.)(?:(?<=(?m:^){GAP}{{0,9}}\p{{L}}\.)|(?<=[{TERMINATORS}]{GAP}{{1,3}}\p{{L}}\.)"
-        rf"|(?<=\p{{Lu}}\p{{Ll}}{{1,20}}{GAP}\p{{L}}\.)|(?<={GAP}[Mm]\.))",
+        rf"|(?<=\p{{Lu}}\p{{Ll}}{{1,20}}{GAP}\p{{L}}\.)|(?<=\D{GAP}M\.))",
         rf"(?={GAP}*{INK})(?<={_START}(?iu:{_any(ALWAYS)})\.)",
         rf"(?={GAP}*\d)(?<={_ALONE}(?iu:{_any(BEFORE_NUMBER)})\.)",
         rf"(?={GAP}+\p{{Lu}})(?<={_ALONE}{_any(BEFORE_CAPITAL)}\.)",
