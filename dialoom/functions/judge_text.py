@@ -15,7 +15,6 @@ ABBREVIATIONS = ("e.g", "i.e", "vs", "etc", "cf", "al", "approx")
 TITLES = ("mr", "mrs", "ms", "dr", "prof")
 TRAILING = "[\\s\"'”’)\\]*_`~#>-]*"
 _ON, _OFF = chr(0xE0FE), chr(0xE0FF)
-_U = "(?U)"
 
 
 def py_strip(s: Column) -> Column:
@@ -30,15 +29,19 @@ def norm(s: Column) -> Column:
 
 def _inside(text: Column, pattern: str, chars: str) -> Column:
     """Masks the given characters within each match, and only there."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{_ON}$0{_OFF}"), _ON)
     hidden = lambda p: F.translate(F.substring_index(p, _OFF, 1), chars, MASK * len(chars))
     one = lambda p, i: F.when(i == 0, p).otherwise(F.concat(hidden(p), F.substring_index(p, _OFF, -1)))
-    return F.when(text.rlike(pattern), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    parts = lambda t: F.split(F.regexp_replace(t, pattern, f"{_ON}$0{_OFF}"), _ON)
+    return let(text, lambda t: F.when(t.rlike(pattern), F.array_join(F.transform(parts(t), one), "")).otherwise(t))
 
 
 def masked(text: Column) -> Column:
     """Terminators that end nothing, masked: in URLs, acronyms, initials, list numbers, decimals, abbreviations, titles."""
-    t = _inside(text, r"(?U)https?://\S+", TERMINATORS)
+    url = let(text, lambda t: F.when(t.contains("://"), _inside(t, r"(?U)https?://\S+", TERMINATORS)).otherwise(t))
+    return let(url, lambda t: F.when(t.contains("."), _dots(t)).otherwise(t))
+
+
+def _dots(t: Column) -> Column:
     t = _inside(t, r"(?U)\b(?:[A-Za-z]\.){2,}", ".")
     t = _inside(t, r"(?U)\b(?:[A-Z]\.\s+)+[A-Z]\.(?=\s+[A-Z][a-z])", ".")
     t = _inside(t, r"(?Um)^\s*\d+(?:\.\d+)*\.(?=\s)", ".")
