@@ -29,11 +29,6 @@ FEATURES = ("distinct_words", "distinct_pairs", "distinct_triples", "distinct_li
 MONOTONE = (0, -1, -1, -1, 1, 0, 0)
 
 
-def content_words(text: Column) -> Column:
-    """The words without numbers, which may be counters."""
-    return F.filter(words(text), lambda w: ~w.rlike(r"^\p{N}+$"))
-
-
 def features(docs: DataFrame) -> DataFrame:
     """Adds the statistics to docs(..., text, w), w being the words; all from built-in functions."""
     n = F.size("w")
@@ -200,6 +195,7 @@ def _no_numbers(c: str) -> Column:
 def _score(model: Trees, keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
+            d = d[d["said"] > 1].reset_index(drop=True)
             score = model.predict(d[list(FEATURES)].to_numpy(float))
             near = score >= CANDIDATE
             share = np.full(len(d), np.nan)
@@ -212,13 +208,15 @@ def _score(model: Trees, keys: list[str]):
 def repetition(docs: DataFrame, keys: list[str], model: Trees | None = None) -> DataFrame:
     """keys, score, share: the modelled share of repeated words, and the exact one (null) where the score is near LIMIT or over.
 
-    docs: keys and text. Null and blank texts, and texts without words, score 0 and have no exact share. Repeated rows are
-    scored each. Extra columns are ignored.
+    docs: keys and text. Null and blank texts, and texts of fewer than two words, cannot repeat and give no row. Repeated
+    rows are scored each. Extra columns are ignored.
     """
     model = model or train(docs)
-    d = docs.select(*keys, "text", words(F.col("text")).alias("w0")).filter("size(w0) > 1")
-    d = features(d.select(*keys, "text", _no_numbers("w0").alias("w")))
-    d = d.select(*keys, *FEATURES, F.array_join("w", " ").alias("joined"))
+    d = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select(*keys, "text", words(F.col("text")).alias("w0"))
+    # Texts of fewer than two words go out in the scoring; a filter here would find the words twice.
+    d = features(d.select(*keys, "text", F.size("w0").alias("said"), _no_numbers("w0").alias("w")))
+    d = d.select(*keys, "said", *FEATURES, F.array_join("w", " ").alias("joined"))
     kinds = dict(docs.dtypes)
     return d.mapInPandas(_score(model, keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double, share double")
 
