@@ -61,7 +61,7 @@ def segments(text: Column) -> Column:
     """Array of (seg, term): the masked text's segments and the run of terminators that closes each; blank lines give none."""
     line_parts = lambda ln: F.concat(
         F.regexp_extract_all(ln, F.lit(f"[^{TERMINATORS}]*[{TERMINATORS}]+"), F.lit(0)),
-        F.filter(F.array(F.regexp_extract(ln, f"[^{TERMINATORS}]*$", 0)), lambda s: ~s.rlike(f"(?U)^{TRAILING}$")),
+        F.filter(F.array(F.regexp_extract(ln, f"(?<![^{TERMINATORS}])[^{TERMINATORS}]*$", 0)), lambda s: ~s.rlike(f"(?U)^{TRAILING}$")),
     )
     lines = F.filter(F.split(py_strip(masked(text)), "\n"), lambda ln: ln.rlike(r"(?U)\S"))
     one = lambda s: F.struct(
