@@ -147,6 +147,14 @@ def test_leaks_against_brute_force(spark):
         assert got == want and want
 
 
+def test_leaks_without_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(1, " ".join(SAY)), (2, " ".join(SAY[::-1]))], "item bigint, text string")
+    corpus = spark.createDataFrame([(i, 0, " ".join(SAY[i : i + 12])) for i in range(30)], "doc bigint, pos int, text string")
+    want = sorted(map(str, leakage.leaked_passages(items, corpus).collect()))
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, leakage.leaked_passages(items, corpus).collect())) == want and want
+
+
 def test_leak_query(spark, folder):
     turn = " ".join(SAY[:12])
     c = spark.createDataFrame([
