@@ -108,6 +108,25 @@ def test_near_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def test_near_pairs_with_scattered_edits(spark):
+    """Changed words that stand nowhere else, spread at random, leave few or no common runs of words."""
+    r = random.Random(7)
+    base = [[f"{r.choice('abcdefgh')}{r.randint(0, 40)}" for _ in range(n)] for n in (48, 100, 200, 400) for _ in range(2)]
+    right = []
+    for i, w in enumerate(base):
+        for share in (0.15, 0.2, 0.25):
+            v = list(w)
+            for k in r.sample(range(len(w)), int(len(w) * share)):
+                v[k] = f"new{i}x{share}x{k}"
+            right.append(v)
+        right.append([x if k % 4 else f"every{i}x{k}" for k, x in enumerate(w)])
+    side = lambda k, ws: [(k, i, " ".join(w)) for i, w in enumerate(ws)]
+    df = spark.createDataFrame(side(0, base) + side(1, right), "side int, class bigint, text string")
+    got = {(x.class_a, x.class_b) for x in overlap.near_pairs(df).collect()}
+    want = {(i, j) for i, a in enumerate(base) for j, b in enumerate(right) if len(a) == len(b) and lcs(a, b) >= 0.75 * len(a)}
+    assert got == want and len(want) == len(right)
+
+
 def test_overlap_query(spark, folder):
     text = " ".join(SAY)
     m = lambda t: [("user", t), ("assistant", "so?"), (None, None), ("user", None)]
