@@ -52,6 +52,23 @@ def range_allocation(pool: DataFrame, wanted: DataFrame, order: list[str]) -> Da
     return pool.join(F.broadcast(spans), "category").filter((F.col("rn") > F.col("low")) & (F.col("rn") <= F.col("high"))).drop("low", "high")
 
 
+def preceding(pool: DataFrame, group: str, last: int, block: int = 5000) -> DataFrame:
+    """Adds max_before and n_before to the ranked pool(id, group, idx, rn): of idx over the last `last` ranks before, and their number.
+
+    The window runs in blocks of ranks, so that no task holds a group; each block also gets the last rows of the one before it.
+    """
+    from pyspark.sql.window import Window as W
+
+    if last > block:
+        raise ValueError("a block must hold the rows before")
+    own = F.floor((F.col("rn") - 1) / block)
+    # The last rows of a block are copied to the next as context.
+    lent = F.when((F.col("rn") - 1) % block >= block - last, F.array(own, own + 1)).otherwise(F.array(own))
+    w = W.partitionBy(group, "__block").orderBy("rn").rowsBetween(-last, -1)
+    b = pool.withColumn("__block", F.explode(lent)).withColumns({"max_before": F.max("idx").over(w), "n_before": F.count("*").over(w)})
+    return b.filter(F.col("__block") == own).drop("__block")
+
+
 def rung_cuts(have: dict[str, int], sizes: tuple[int, ...] = LADDER) -> list[tuple[int, str, int]]:
     """(rung, category, kept): how many of each category the rung of each size keeps; a rung some category cannot fill is left out.
 

@@ -459,12 +459,9 @@ def round_robin(s, d):
 
 @query
 def avoid_list(s, d):
-    """How many distinct lengths the last eighty topics before each record had."""
+    """The largest index among the last eighty records before each in its category, and their number."""
     p = assemble.shuffled(conv_ids(s, d).select("id", "category", "idx"), ["category"], "id", "42")
-    # The window moves along the index within blocks of the permutation, so that no task holds a category.
-    block = F.floor((F.col("rn") - 1) / 5000)
-    w = W.partitionBy("category", block).orderBy("rn").rowsBetween(-80, -1)
-    return p.select("id", F.max("idx").over(w).alias("max_before"), F.count("*").over(w).alias("n_before"))
+    return assemble.preceding(p, "category", 80).select("id", "max_before", "n_before")
 
 
 @query

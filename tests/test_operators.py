@@ -1,5 +1,6 @@
 """Metrics, validation, assembly and scale building blocks on small fixtures."""
 
+import hashlib
 import math
 import random
 
@@ -63,6 +64,16 @@ def test_ladder_golden_and_nested(spark):
     assert {n: len(s) for n, s in sets.items()} == {10: 10, 20: 20, 125: 125} and sets[10] < sets[20] < sets[125]
 
 
+def test_avoid_list_across_blocks(spark, tmp_path):
+    from dialoom.plans import registry
+
+    spark.range(5200).selectExpr("format_string('train_math_%05d', id) as id").write.parquet(f"{tmp_path}/convs.parquet")
+    got = {r.id: (r.max_before, r.n_before) for r in registry.avoid_list(spark, str(tmp_path)).collect()}
+    ids = sorted((f"train_math_{i:05d}" for i in range(5200)), key=lambda i: hashlib.md5(f"{i}42".encode()).hexdigest())
+    idx = [int(i[-5:]) for i in ids]
+    assert got == {i: (max(idx[max(0, k - 80) : k], default=None), min(k, 80)) for k, i in enumerate(ids)}
+
+
 def test_ranked_and_prefix_sum(spark):
     rows = [(g, i, random.Random(i).randint(0, 9)) for g in ("a", "b", None) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, i int, n int")
