@@ -128,3 +128,13 @@ def p6_leaked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("item.id").alias("id"), F.col("item.turn").alias("turn")).agg(
         F.countDistinct("doc").alias("n_convs"), F.min("distance").alias("least_distance")
     )
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a leak in train conversations, in how many, and the least distance: every turn that p6_found matches (ten
+    words as they stand, distance 0) and every one of p6_leaked_turns (twenty words with at most one word changed)."""
+    items, corpus = turn_items(spark, sf_dir), train_messages(spark, sf_dir)
+    found = leaked_passages(items, corpus).unionByName(leaked_passages(items, corpus, window=20, errors=1))
+    return found.groupBy(F.col("item.id").alias("id"), F.col("item.turn").alias("turn")).agg(
+        F.countDistinct("doc").alias("n_convs"), F.min("distance").alias("least_distance")
+    )

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_sample": sampling.p5_sample,
     "p6_found": leakage.p6_found,
     "p6_leaked_turns": leakage.p6_leaked_turns,
+    "p6_turns": leakage.p6_turns,
     "p7_found": packing.p7_found,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,

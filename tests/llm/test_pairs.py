@@ -187,3 +187,17 @@ def test_leak_query(spark, folder):
     assert leakage.p6_leaked_turns(spark, d).count() == 0
     e = folder(convs=c.filter("false"), blueprints=b.filter("false"))
     assert leakage.p6_found(spark, e).count() == 0
+
+
+def test_leaked_turns_of_any_length(spark, folder):
+    changed = [*SAY[:9], "new", *SAY[10:20]]
+    c = spark.createDataFrame([
+        ("train_math_00001", None, None, None, None, [("user", " ".join(SAY[:12])), ("assistant", " ".join(SAY[:12]))], 1),
+        ("train_math_00002", None, None, None, None, [("user", "so " + " ".join(SAY[1:12]).upper())], 1), ("train_math_00003", None, None, None, None, [("user", " ".join(changed))], 1),
+    ], CONV)
+    turns = [" ".join(SAY[:12]), " ".join(SAY[:9]), None, " ".join(SAY[2:12]), " ".join([*SAY[:20], "end"])]
+    b = spark.createDataFrame([("eval_dev_math_00001", None, None, None, None, turns, 1), ("eval_dev_math_00002", None, None, None, None, [SAY[0]], 1)], PLAN)
+    d = folder(convs=c, blueprints=b)
+    got = {(r.id, r.turn): (r.n_convs, r.least_distance) for r in leakage.p6_turns(spark, d).collect()}
+    assert got == {("eval_dev_math_00001", 1): (2, 0), ("eval_dev_math_00001", 4): (2, 0), ("eval_dev_math_00001", 5): (3, 0)}
+    assert {i for i, _ in got} == {r.id_a for r in leakage.p6_found(spark, d).collect()}
