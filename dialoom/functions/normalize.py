@@ -18,7 +18,11 @@ from pyspark.sql.types import StringType
 INVISIBLE = "­​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤﻿"
 #: Scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
-WORD = rf"[\p{{L}}\p{{N}}&&[{UNSPACED}]]\p{{M}}*|[\p{{L}}\p{{N}}\p{{M}}&&[^{UNSPACED}]]+"
+# Each part begins with a plain range, so that a character of the other part fails at once.
+WORD = (
+    rf"[\x{{e00}}-\x{{faff}}&&[{UNSPACED}]&&[\p{{L}}\p{{N}}]]\p{{M}}*"
+    rf"|[[\x{{0}}-\x{{dff}}&&[\p{{L}}\p{{N}}\p{{M}}]][\x{{e00}}-\x{{10ffff}}&&[^{UNSPACED}]&&[\p{{L}}\p{{N}}\p{{M}}]]]+"
+)
 WORD_CHAR = r"\p{L}\p{N}\p{M}"
 
 
