@@ -3,7 +3,7 @@
 Document statistics come from SQL: shares of distinct words, pairs, triples and sentences, of words repeated in place, and
 size. Gradient-boosted trees, trained here on a bounded sample with exact labels, map them to the share of repeated words.
 The trees are flattened into numpy node arrays and score Arrow batches; the shares of distinct n-grams are constrained to
-act in one direction only. Documents the model puts near or over the limit are then measured exactly.
+act in one direction only. The score decides; the exact share is the label the trees learn and the measure of their error.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from dialoom.functions.normalize import UNSPACED, grams, let, words
 from dialoom.llm.sentences import message_texts
 
-#: Rows the model is fitted on: a sample by hash, and as many made repetitive from it.
-TRAIN_ROWS = 3000
-#: Share of repeated words beyond which a document is found, and model score from which it is measured exactly.
-LIMIT, CANDIDATE = 0.5, 0.25
+#: Rows the model is fitted on: a sample by hash of texts up to TRAIN_CHARS characters, and as many made repetitive from it.
+TRAIN_ROWS, TRAIN_CHARS = 3000, 4000
+#: Score, a modelled share of repeated words, beyond which a document is found.
+LIMIT = 0.5
 #: Words a phrase must have to count as repeated, in spaced and unspaced scripts.
 PHRASE, PHRASE_UNSPACED = 3, 6
-FEATURES = ("distinct_words", "distinct_pairs", "distinct_triples", "distinct_lines", "in_place", "log_words", "unspaced")
+FEATURES = ("distinct_words", "distinct_pairs", "distinct_phrases", "distinct_lines", "in_place", "log_words", "unspaced")
 #: Direction in which a feature may move the score: more distinct parts never raise it, more in-place repeats never lower it.
 MONOTONE = (0, -1, -1, -1, 1, 0, 0)
 
@@ -43,15 +43,16 @@ def features(docs: DataFrame) -> DataFrame:
         F.col("__h"),
         lambda h: F.size(F.filter(F.transform(h, lambda x, i: (i > 0) & (x == F.try_element_at(h, F.greatest(i, F.lit(1))))), lambda b: b)),
     )
+    unspaced = F.col("text").rlike(rf"[\x{{e00}}-\x{{faff}}&&[{UNSPACED}]]")
     return d.select(
         *docs.columns,
         ratio(F.col("__h")).alias("distinct_words"),
         ratio(grams(F.col("w"), 2)).alias("distinct_pairs"),
-        ratio(grams(F.col("w"), 3)).alias("distinct_triples"),
+        F.when(unspaced, ratio(grams(F.col("w"), PHRASE_UNSPACED))).otherwise(ratio(grams(F.col("w"), PHRASE))).alias("distinct_phrases"),
         ratio(F.col("__l")).alias("distinct_lines"),
         (same / F.greatest(n, F.lit(1))).alias("in_place"),
         F.log1p(n).alias("log_words"),
-        F.col("text").rlike(f"[{UNSPACED}]").cast("double").alias("unspaced"),
+        unspaced.cast("double").alias("unspaced"),
     )
 
 
@@ -167,17 +168,17 @@ class Trees:
         return self.base + self.value[at].sum(1)
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Fits the trees on a bounded sample of docs(text): `rows` by hash of the text, and as many made repetitive.
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Trees:
+    """Fits the trees on a bounded sample of docs(text): `rows` by hash of those up to `chars` long, and as many made repetitive.
 
-    A made text says its own first words, or sentence, again and again after the original; its label, as all labels, is
-    the exact share of repeated words. The same table gives the same model.
+    A made text says its own first words, or all of it, again and again after the original; its label, as all labels, is
+    the exact share of repeated words. The driver holds at most rows * chars * 22 characters. The same table gives the same model.
     """
     spark = docs.sparkSession
-    picked = docs.select("text").filter(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(rows).toPandas()["text"]
+    short = docs.select("text").filter(F.length("text") <= chars)
+    picked = short.orderBy(F.xxhash64("text"), "text").limit(rows).toPandas()["text"]
     texts = list(picked)
     for i, t in enumerate(picked):
-        t = t[:2000]
         parts = t.split(" ")
         some = parts[: 1 + i % 7] if len(parts) > 1 else [t]
         sep = ("\n", " ", ". ")[i % 3]
@@ -196,17 +197,13 @@ def _score(model: Trees, keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             d = d[d["said"] > 1].reset_index(drop=True)
-            score = model.predict(d[list(FEATURES)].to_numpy(float))
-            near = score >= CANDIDATE
-            share = np.full(len(d), np.nan)
-            share[near] = [repeated_share(t.split(" ")) for t in d["joined"][near]]
-            yield d[keys].assign(score=np.clip(score, 0, 1), share=np.where(near, share, None).astype(float))
+            yield d[keys].assign(score=np.clip(model.predict(d[list(FEATURES)].to_numpy(float)), 0, 1))
 
     return run
 
 
 def repetition(docs: DataFrame, keys: list[str], model: Trees | None = None) -> DataFrame:
-    """keys, score, share: the modelled share of repeated words, and the exact one (null) where the score is near LIMIT or over.
+    """keys, score, found: the modelled share of repeated words, and whether it is over LIMIT.
 
     docs: keys and text. Null and blank texts, and texts of fewer than two words, cannot repeat and give no row. Repeated
     rows are scored each. Extra columns are ignored.
@@ -216,19 +213,19 @@ def repetition(docs: DataFrame, keys: list[str], model: Trees | None = None) ->
     d = d.select(*keys, "text", words(F.col("text")).alias("w0"))
     # Texts of fewer than two words go out in the scoring; a filter here would find the words twice.
     d = features(d.select(*keys, "text", F.size("w0").alias("said"), _no_numbers("w0").alias("w")))
-    d = d.select(*keys, "said", *FEATURES, F.array_join("w", " ").alias("joined"))
     kinds = dict(docs.dtypes)
-    return d.mapInPandas(_score(model, keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double, share double")
+    scored = d.select(*keys, "said", *FEATURES).mapInPandas(_score(model, keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double")
+    return scored.withColumn("found", F.col("score") > LIMIT)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of which more than half of the words only repeat."""
-    return repetition(message_texts(spark, sf_dir), ["id", "pos"]).filter(F.col("share") > LIMIT).select("id", "pos").distinct()
+    """Messages of which, by the trees' score, more than half of the words only repeat."""
+    return repetition(message_texts(spark, sf_dir), ["id", "pos"]).filter("found").select("id", "pos").distinct()
 
 
 def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages, mean score and found messages by category, over all messages with at least two words."""
     r = repetition(message_texts(spark, sf_dir), ["id", "pos"]).distinct()
     return r.groupBy(F.regexp_extract("id", r"_([a-z]+)_\d+$", 1).alias("category")).agg(
-        F.count("*").alias("n_messages"), F.avg("score").alias("mean_score"), F.count_if(F.col("share") > LIMIT).alias("n_found")
+        F.count("*").alias("n_messages"), F.avg("score").alias("mean_score"), F.count_if("found").alias("n_found")
     )
