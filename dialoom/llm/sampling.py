@@ -29,12 +29,12 @@ def allocate(targets: DataFrame, available: DataFrame) -> DataFrame:
     cumulative rounding, so that none is lost. Null shares and minima count as 0; cells without rows have 0 available.
     """
     tree = F.create_map(*[x for k, v in PARENTS.items() for x in (F.lit(k), F.lit(v))])
-    t = targets.join(F.broadcast(available), ["split", "category"], "left").withColumns({
+    t = targets.join(available, ["split", "category"], "left").withColumns({
         "parent": F.coalesce(F.try_element_at(tree, F.col("category")), F.lit("other")),
         "available": F.coalesce("available", F.lit(0)).cast("bigint"),
         "want": F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce(F.col("target_share") * F.col("sample_rows"), F.lit(0.0))),
     })
-    t = t.withColumn("need", F.ceil(F.col("want") - 1e-9)).withColumn("own", F.least("available", "need"))
+    t = t.withColumn("need", F.ceil("want")).withColumn("own", F.least("available", "need"))
     t = t.withColumn("unmet", F.col("need") - F.col("own")).withColumn("spare", F.col("available") - F.col("own"))
 
     def pass_on(d: DataFrame, over, into: str) -> DataFrame:
@@ -74,9 +74,19 @@ def draw(members: DataFrame, quotas: DataFrame) -> DataFrame:
     return placed.join(q, ["split", "category"]).filter(F.col("rank") <= F.col("quota")).select(*members.columns)
 
 
+def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sample drawn, and the quotas it was drawn by."""
+    members = cut(cells(spark, sf_dir))
+    quotas = cut(allocate(table(spark, sf_dir, "category_targets"), members.groupBy("split", "category").agg(F.count("*").alias("available"))))
+    return draw(members, quotas), quotas
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of category_targets whose quota cannot be reached from their own rows."""
-    return plan(spark, sf_dir).filter(~F.col("met")).select("split", "category").distinct()
+    """Cells of category_targets of which the sample holds fewer rows than wished: all their own, which are too few."""
+    sample, quotas = drawn(spark, sf_dir)
+    got = sample.groupBy("split", "category").agg(F.count("*").alias("drawn"))
+    short = quotas.join(got, ["split", "category"], "left").filter(F.coalesce("drawn", F.lit(0)) < F.col("want"))
+    return short.select("split", "category").distinct()
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +96,4 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample drawn."""
-    return draw(cut(cells(spark, sf_dir)), cut(plan(spark, sf_dir)))
+    return drawn(spark, sf_dir)[0]
