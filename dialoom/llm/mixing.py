@@ -66,10 +66,21 @@ def mix(docs: DataFrame, rated: DataFrame, seed: int = SEED) -> DataFrame:
     return placed.join(r, "source").select("mix_name", "doc_id", "source", "tokens", copies.cast("int").alias("copies")).filter("copies > 0")
 
 
+def mixed(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan's rows with what was emitted for them: copies, mixed_tokens, most_copies; a row a (mix, source)."""
+    rated = cut(rates(plan, docs))
+    got = mix(docs, rated).groupBy("mix_name", "source").agg(
+        F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies")
+    )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("copies", "mixed_tokens", "most_copies")}
+    return rated.join(got, ["mix_name", "source"], "left").withColumns(zero)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of mix_plan whose source, used in full as often as allowed, stays below its target."""
-    docs = sized_documents(spark, sf_dir)
-    return rates(table(spark, sf_dir, "mix_plan"), docs).filter(~F.col("reachable")).select("mix_name", F.col("source_name").alias("source")).distinct()
+    """Rows of mix_plan for which every document was emitted as often as allowed, and still too few tokens."""
+    m = mixed(sized_documents(spark, sf_dir), table(spark, sf_dir, "mix_plan"))
+    in_full = F.col("copies") == F.coalesce("max_repeats", F.lit(0)) * F.col("source_docs")
+    return m.filter(in_full & (F.col("mixed_tokens") < F.col("wish"))).select("mix_name", F.col("source_name").alias("source")).distinct()
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +91,8 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares reached by source against those asked for."""
-    docs = sized_documents(spark, sf_dir)
-    rated = cut(rates(table(spark, sf_dir, "mix_plan"), docs))
-    got = mix(docs, rated).groupBy("mix_name", "source").agg(
-        F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies")
-    )
-    return rated.join(got, ["mix_name", "source"], "left").select(
+    return mixed(sized_documents(spark, sf_dir), table(spark, sf_dir, "mix_plan")).select(
         "mix_name", F.col("source_name").alias("source"), "target_share", "total_tokens", "source_tokens",
-        F.coalesce("mixed_tokens", F.lit(0).cast("bigint")).alias("mixed_tokens"),
-        (F.coalesce("mixed_tokens", F.lit(0)) / F.col("total_tokens")).alias("share"),
-        F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", "reachable",
+        F.col("mixed_tokens").cast("bigint").alias("mixed_tokens"),
+        (F.col("mixed_tokens") / F.col("total_tokens")).alias("share"), "most_copies", "max_repeats", "reachable",
     )
