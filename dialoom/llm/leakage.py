@@ -2,7 +2,7 @@
 
 Pigeonhole edit matching over words. A passage of `window` words with at most k edits, cut into k + 1 pieces, holds at
 least one piece unchanged. Pieces of all evaluation passages are looked up among the runs of as many words in the corpus;
-each passage around a hit is verified with Myers' bit-parallel distance against the corpus text.
+each passage around a hit is verified with Myers' bit-parallel distance against the words of the corpus around that hit.
 """
 
 from __future__ import annotations
@@ -49,26 +49,35 @@ def myers(pattern: list, text: list) -> int:
 def _verify(window: int, errors: int):
     piece = window // (errors + 1)
 
-    def least(item: list[str], doc: list[str], hits: set[int]) -> int:
-        """Least distance to doc of the item's passages that hold one of the hit pieces, wherever in the item it stands."""
-        grams = {tuple(item[i : i + piece]) for i in hits}
+    def least(item: list[str], doc: list[str], hits: list) -> int:
+        """Least distance of the item's passages with a hit piece, wherever it stands in them, to the words around the hit.
+
+        An item's piece is looked up once, so its other places in the item are found here. hits: (place in item, in doc).
+        """
+        at: dict = {}
+        for i in range(len(item) - piece + 1):
+            at.setdefault(tuple(item[i : i + piece]), []).append(i)
         best, seen = errors + 1, set()
-        for i in range(len(item) - piece + 1) if errors else sorted(hits):
-            if tuple(item[i : i + piece]) not in grams:
+        for i, j in hits:
+            gram = tuple(item[i : i + piece])
+            if tuple(doc[j : j + piece]) != gram:
                 continue
-            for w in range(max(0, i - window + piece), min(i, len(item) - window) + 1):
-                passage = tuple(item[w : w + window])
-                if passage not in seen:
-                    seen.add(passage)
-                    best = min(best, myers(list(passage), doc))
-                    if not best:
-                        return 0
+            for k in at[gram]:
+                for w in range(max(0, k - window + piece), min(k, len(item) - window) + 1):
+                    low = j - (k - w) - errors
+                    around = tuple(doc[max(0, low) : low + window + 2 * errors])
+                    if (w, around) not in seen:
+                        seen.add((w, around))
+                        best = min(best, myers(item[w : w + window], around))
+                        if not best:
+                            return 0
         return best
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            d["distance"] = [least(a.split(" "), b.split(" "), set(h)) for a, b, h in zip(d["item_words"], d["doc_words"], d["hits"])]
-            yield d.loc[d["distance"] <= errors, ["item", "doc", "pos", "distance"]]
+            places = [sorted((h["i"], h["j"]) for h in hs) for hs in d["hits"]]
+            d["distance"] = [least(a.split(" "), b.split(" "), h) for a, b, h in zip(d["item_words"], d["doc_words"], places)]
+            yield d.loc[d["distance"] <= errors, ["c", "doc", "pos", "distance"]]
 
     return run
 
@@ -78,31 +87,31 @@ def leaked_passages(items: DataFrame, corpus: DataFrame, window: int = WINDOW, e
 
     items: (item, text), corpus: (doc, pos, text). Words are compared without case, punctuation, spacing, Unicode form and
     invisible characters. Null or shorter texts leak nothing; repeated rows count once; equal items are searched once.
-    The pieces are broadcast when there are at most BROADCAST_ROWS of them, else joined by shuffle with hot runs salted.
+    With no errors the one piece of a passage is the passage. The pieces are broadcast when there are at most
+    BROADCAST_ROWS of them, else joined by shuffle with hot runs salted; so are items that very many texts hold.
     """
     piece = window // (errors + 1)
     iw = items.select("item", words(F.col("text")).alias("w")).filter(F.size("w") >= window)
     iw = cut(iw.select("item", F.array_join("w", " ").alias("t")).distinct())
     classes = cut(iw.select("t").distinct().withColumn("c", F.monotonically_increasing_id()))
-    # A piece that an item or a text repeats is looked up once.
+    # A piece that an item repeats is looked up once.
     pieces = classes.select("c", F.posexplode(grams(F.split("t", " "), piece)).alias("i", "g"))
     pieces = cut(pieces.groupBy("c", "g").agg(F.min("i").alias("i")))
     spoken = corpus.select("doc", "pos", words(F.col("text")).alias("w"))
-    runs = spoken.select("doc", "pos", F.explode(F.array_distinct(grams(F.col("w"), piece))).alias("g"))
+    runs = spoken.select("doc", "pos", F.posexplode(grams(F.col("w"), piece)).alias("j", "g"))
     n = pieces.count()
     hits = runs.join(F.broadcast(pieces), "g") if n <= BROADCAST_ROWS else salted_join(runs, pieces, "g")
-    hits = cut(hits.groupBy("doc", "pos", "c").agg(F.collect_set("i").alias("hits")))
+    hits = cut(hits.groupBy("doc", "pos", "c").agg(F.collect_set(F.struct("i", "j")).alias("hits")))
     docs = hits.select("doc", "pos").distinct()
     if docs.count() <= BROADCAST_ROWS:
         docs = F.broadcast(docs)
     texts = corpus.join(docs, ["doc", "pos"], "left_semi").select("doc", "pos", F.array_join(words(F.col("text")), " ").alias("doc_words"))
-    texts = texts.distinct()
-    pairs = hits.join(classes.select("c", F.col("t").alias("item_words")), "c").join(texts, ["doc", "pos"])
-    kind = ", ".join(f"{k} {v}" for k, v in [("item", "bigint"), *[(c, dict(corpus.dtypes)[c]) for c in ("doc", "pos")], ("distance", "int")])
-    found = pairs.withColumnRenamed("c", "item").mapInPandas(_verify(window, errors), kind)
-    found = found.groupBy("item", "doc", "pos").agg(F.min("distance").alias("distance")).withColumnRenamed("item", "c")
-    owners = iw.join(classes, "t").select("c", "item")
-    return salted_join(owners, found, "c").select("item", "doc", "pos", "distance")
+    pairs = salted_join(hits.join(texts.distinct(), ["doc", "pos"]), classes.select("c", F.col("t").alias("item_words")), "c")
+    kinds = dict(corpus.dtypes)
+    found = pairs.mapInPandas(_verify(window, errors), f"c bigint, doc {kinds['doc']}, pos {kinds['pos']}, distance int")
+    found = cut(found.groupBy("c", "doc", "pos").agg(F.min("distance").alias("distance")))
+    # An item of one class and a text that many rows deliver are found once for all of them.
+    return salted_join(found, iw.join(classes, "t").select("c", "item"), "c").select("item", "doc", "pos", "distance")
 
 
 def turn_items(spark: SparkSession, sf_dir: str) -> DataFrame:
