@@ -1,8 +1,10 @@
 """Problem 9: per-document text quality statistics.
 
-Documents are cut into chunks at line breaks where possible; a chunk knows the character before it, so that a word or line
-that runs over a cut is counted once. Chunks give associative counts by paragraph, summed by partial and final
-aggregation; ratios and the rule's outcome come from the sums. All of it is built-in functions.
+Documents are cut into chunks of whole lines; a line longer than REACH counts as further lines marked as going on, so
+that what is counted does not depend on the size of the chunks. A chunk is divided into fragments of paragraphs, which
+give associative counts. Paragraphs inside a chunk are judged at once; those open at its ends carry the counts of their
+fragments and are judged when these are summed. Sums go up a tree: fragment, paragraph, document. Ratios and the rule's
+outcome come from the sums. All of it is built-in functions.
 
 A line is structure when its form says so: list item, table row, log, code or markup, form or key, menu. What is left of a
 paragraph is prose, or keywords or junk, by its share of symbols and of common words, or of particles in scripts without
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from dialoom.functions.normalize import UNSPACED, visible
 from dialoom.llm.records import table
 
-#: Characters a chunk, and how far a line may reach into the next one.
+#: Characters a chunk; and how far a line reaches before it is cut into segments, each judged as a line.
 CHUNK, REACH = 8192, 2048
 #: Most rows of common_words that are taken into an expression.
 WORD_LIST = 20_000
@@ -60,96 +62,144 @@ ITEM = (
     r"(?=[^\n]*(?<![.!?。！？؟।…][\"”»’)]{0,1})[ \t]*(?:\n|$))[^\n]*$\n?"
 )
 SYMBOL = rf"[^{_LETTER}\p{{N}}\s\x{{a0}}.,!?'\"’‘“”„«»:;()¿¡…。，、！？；：「」『』（）؟،؛।\-–—\x{{1F000}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}%$€£&/+*#]"
-SPACED_WORD = rf"[{_LETTER}&&[^{UNSPACED}]]+(?:['’\-][{_LETTER}&&[^{UNSPACED}]]+){{0,9}}+"
+SPACED_WORD = rf"[{_LETTER}]+(?:['’\-][{_LETTER}]+){{0,9}}+"
+PLAIN = rf"[{_LETTER}\p{{N}}\s\x{{a0}}.,!?'\"’“”:;()-]+"
+BREAK = r"\n[ \t\r]*\n"
+# Marks of a cut line: at the end of a segment, and at the beginning of the next, by itself or in the middle of a word.
+CUT, ON, WITHIN = (chr(0xFDD0 + i) for i in range(3))
 SENTENCE_END = rf"(?:(?<![.!?…؟।])[.!?…؟।]++[\"”»’)\]]*+(?=\s|$)|[。！？]+)"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk, piece, joined): pieces that together hold every character once; joined if a word runs on into it."""
-    d = docs.select("doc_id", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("parts"))
-    d = d.select("doc_id", "parts", F.posexplode("parts").alias("chunk", "part"))
-    before = F.when(F.col("chunk") > 0, F.substring(F.try_element_at("parts", F.greatest(F.col("chunk"), F.lit(1))), -1, 1)).otherwise("\n")
-    after = F.coalesce(F.substring(F.try_element_at("parts", F.col("chunk") + 2), 1, REACH), F.lit(""))
-    d = d.select("doc_id", "chunk", "part", before.alias("before"), after.alias("after"))
-    first = lambda c: F.when(F.instr(c, "\n") > 0, F.least(F.instr(c, "\n"), F.lit(REACH))).otherwise(F.least(F.length(c), F.lit(REACH)))
-    skip = F.when(F.col("before") == "\n", F.lit(0)).otherwise(first(F.col("part")))
-    reach = F.when(F.col("part").endswith("\n"), F.lit(0)).otherwise(first(F.col("after")))
-    d = d.withColumn("skip", skip).withColumn("reach", reach)
-    last = F.when(F.col("skip") > 0, F.substring(F.col("part"), F.col("skip"), F.lit(1))).otherwise(F.col("before"))
-    piece = F.concat(F.substring(F.col("part"), F.col("skip") + 1, F.length("part")), F.substring(F.col("after"), F.lit(1), F.col("reach")))
-    d = d.select("doc_id", "chunk", piece.alias("piece"), last.alias("last"))
-    return d.select("doc_id", "chunk", "piece", (F.col("last").rlike(f"[{_LETTER}]") & F.col("piece").rlike(f"^[{_LETTER}]")).alias("joined"))
-
-
-def common_pattern(words: list[str]) -> str:
-    """The words as whole words, grouped by their first letter so that most positions fail at once."""
-    by: dict[str, list[str]] = {}
-    for w in sorted({w.lower() for w in words if w}):
-        by.setdefault(w[0], []).append(w[1:])
-    esc = lambda w: "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in w)
-    alts = "|".join(esc(a) + "(?:" + "|".join(esc(r) for r in sorted(rest, reverse=True)) + ")" for a, rest in by.items())
-    return rf"(?<![{_LETTER}])(?:{alts or '(?!)'})(?![{_LETTER}])"
+    """(doc_id, chunk, piece, part, ends): pieces that together hold every character once, and the same with marks for counting.
+
+    A part consists of whole lines or segments. ends tells which chunks of a document hold the end of a paragraph, null
+    where there is one chunk only.
+    """
+    text = F.translate(visible(F.coalesce("text", F.lit(""))), CUT + ON + WITHIN, "")
+    whole = text.endswith("\n")
+    d = docs.select("doc_id", F.when(whole, text).otherwise(F.concat(text, F.lit("\n"))).alias("text"), whole.alias("whole"))
+    begin = rf"(?:\A|(?<=\n)|\G)(?=[^\n]{{{REACH + 1}}})(?:[^\n]{{1,{REACH - 1}}}[ \t]|[^\n]{{{REACH}}})"
+    cut_up = F.regexp_replace("text", begin, f"$0{CUT}\n{ON}")
+    cut_up = F.regexp_replace(cut_up, rf"(?<=[{_LETTER}]{CUT}\n){ON}(?=[{_LETTER}])", WITHIN)
+    d = d.withColumn("text", F.when(F.col("text").rlike(rf"(?:\A|\n)[^\n]{{{REACH + 1}}}"), cut_up).otherwise(F.col("text")))
+    parts = F.regexp_extract_all("text", F.lit(rf"(?s).{{0,{CHUNK - 1}}}\n|[^\n]*+\n"), F.lit(0))
+    d = d.select("doc_id", "whole", F.when(F.length("text") <= CHUNK, F.array("text")).otherwise(parts).alias("parts"))
+    ends = F.array_join(F.transform("parts", lambda p: F.when(F.concat(F.lit("\n"), p).rlike(BREAK), "1").otherwise("0")), "")
+    d = d.withColumn("ends", F.when(F.size("parts") > 1, ends))
+    # There is always a part; the outer form does not compute the parts once more to make sure.
+    d = d.select("doc_id", "ends", "whole", F.size("parts").alias("k"), F.posexplode_outer("parts").alias("chunk", "part"))
+    piece = F.translate(F.replace("part", F.lit(f"{CUT}\n"), F.lit("")), ON + WITHIN, "")
+    added = ~F.col("whole") & (F.col("chunk") == F.col("k") - 1)
+    return d.select("doc_id", "chunk", F.when(added, F.rtrim(piece, F.lit("\n"))).otherwise(piece).alias("piece"), "part", "ends")
+
+
+def fragments(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk, paragraph, p): fragments of paragraphs; paragraph is null where the whole of it is in p.
+
+    Together the fragments hold every visible character of docs(doc_id, text) once.
+    """
+    d = chunks(docs).select("doc_id", "ends", "chunk", F.split(F.concat(F.lit("\n"), "part"), BREAK).alias("ps"))
+    d = d.select("doc_id", "ends", "chunk", F.size("ps").alias("k"), F.posexplode_outer("ps").alias("n", "p"))
+    # A chunk begins with the paragraph that begins behind the last chunk in which one ends.
+    head = F.length(F.rtrim(F.left("ends", F.col("chunk")), F.lit("0")))
+    paragraph = F.when(F.col("ends").isNotNull(), F.when(F.col("n") == 0, head).when(F.col("n") == F.col("k") - 1, F.col("chunk") + 1))
+    return d.select("doc_id", "chunk", paragraph.alias("paragraph"), "p")
+
+
+def _counts(x: Column, listed: list[str]) -> dict[str, Column]:
+    """What is counted of a text; sums over texts of whole lines are the counts of all of them."""
+    high = F.regexp_replace(x, r"[\x{0}-\x{dff}]+", "")  # empty for most texts
+    of = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
+    low = F.regexp_replace(x, rf"[\x{{e00}}-\x{{faff}}&&[{UNSPACED}]]+", " ")
+    plain = F.regexp_replace(x, PLAIN, "")
+    said = F.split(F.lower(x), rf"[^{_LETTER}]+")
+    some = lambda c: F.when(high != "", c).otherwise(0)
+    return {
+        "shown": of(x, r"[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+"),
+        "letters": of(x, rf"[^{_LETTER}]+"),
+        "words": F.regexp_count(F.when(high != "", low).otherwise(x), F.lit(SPACED_WORD)),
+        "unspaced": some(of(high, f"[^{UNSPACED}]+")),
+        "unspaced_letters": some(of(high, rf"[^{_LETTER}&&[{UNSPACED}]]+")),
+        "plain": F.length(plain),
+        "symbols": F.regexp_count(plain, F.lit(SYMBOL)),
+        "particles": some(F.regexp_count(high, F.lit(PARTICLE))),
+        "stops": some(F.regexp_count(high, F.lit("[。！？…]+"))),
+        "common": F.filter(said, lambda w: w.isin(listed)),
+    }
 
 
 def statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
     """A row of counts, ratios and outcome for each row of docs(doc_id, text); common: (lang, word).
 
     Null and blank texts count 0 everywhere and are not found. Texts of any length are measured whole. Rows of one doc_id
-    are summed as one document. The word list is bounded by WORD_LIST.
+    are summed as one document. A line over REACH characters counts once in n_lines, its form is judged by segments. The
+    word list, one table of whole words, is bounded by WORD_LIST.
     """
-    rows = common.select("lang", "word").distinct().limit(WORD_LIST + 1).collect()
+    rows = common.select("lang", F.lower("word").alias("word")).filter("word <> ''").distinct().limit(WORD_LIST + 1).collect()
     if len(rows) > WORD_LIST:
         raise ValueError("the list of common words is too long for an expression")
-    listed = [r["word"] for r in rows]
-    by_lang = {lang: [r["word"] for r in rows if r["lang"] == lang] for lang in sorted({r["lang"] or "" for r in rows})}
-    d = docs.select("doc_id", visible(F.coalesce("text", F.lit(""))).alias("text"))
-    shown = lambda c: F.length(F.regexp_replace(c, r"[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+", ""))
-    kept = lambda c, cls: F.length(F.regexp_replace(c, f"[^{cls}]+", ""))
-    p = chunks(d).withColumn("paragraphs", F.split("piece", r"\n[ \t\r]*\n"))
-    p = p.select("doc_id", F.posexplode("paragraphs").alias("n", "p"), "joined")
-    p = p.withColumn("u", F.regexp_replace("p", STRUCTURE, ""))
-    p = p.withColumn("t", F.when(F.regexp_count("u", F.lit(ITEM)) > 1, F.regexp_replace("u", ITEM, "")).otherwise(F.col("u")))
-    # Meaningless words hit short words of many languages; prose has its common words from one.
-    counted = F.regexp_count(F.lower("t"), F.lit(common_pattern(listed)))
-    best = F.greatest(F.lit(0), F.lit(0), *[F.regexp_count(F.lower("t"), F.lit(common_pattern(w))) for w in by_lang.values()])
-    best = F.when(counted >= PLENTY * F.regexp_count("t", F.lit(SPACED_WORD)), counted).otherwise(best)
-    end = F.col("p").rlike(rf"{SENTENCE_END}\s*$")
-    p = p.select(
-        "doc_id", shown(F.col("p")).alias("shown"), shown(F.col("t")).alias("t_shown"),
-        (F.regexp_count("p", F.lit(SPACED_WORD)) - F.when((F.col("n") == 0) & F.col("joined"), 1).otherwise(0)).alias("words"),
-        kept(F.col("p"), rf"{_LETTER}&&[^{UNSPACED}]").alias("word_letters"), kept(F.col("p"), UNSPACED).alias("unspaced"),
-        F.length(F.regexp_replace("p", f"[{_LETTER}\\p{{N}}\\s\\x{{a0}}.,!?'\"’“”:;()-]+", "")).alias("symbols"),
-        F.regexp_count("p", F.lit(r"(?m)^.*\S.*$")).alias("lines"), F.regexp_count("p", F.lit(rf"(?m){SENTENCE_END}[ \t]*$")).alias("ended_lines"),
-        F.regexp_count(F.lower("p"), F.lit(common_pattern(listed))).alias("common"),
-        kept(F.col("t"), _LETTER).alias("t_letters"), F.regexp_count("t", F.lit(SPACED_WORD)).alias("t_words"),
-        kept(F.col("t"), UNSPACED).alias("t_unspaced"), F.regexp_count("t", F.lit(SYMBOL)).alias("t_symbols"),
-        counted.alias("t_common"), best.alias("t_best"), F.regexp_count("t", F.lit(PARTICLE)).alias("t_particles"),
-        end.alias("ended"), F.regexp_count("t", F.lit("[。！？…]+")).alias("t_stops"),
+    listed = sorted({r["word"] for r in rows})
+    by_lang = [[r["word"] for r in rows if r["lang"] == lang] for lang in sorted({r["lang"] or "" for r in rows})]
+    col, zero = F.col, F.lit(0)
+    f = fragments(docs)
+    f = f.withColumn("q", F.when(col("p").rlike(f"[{CUT}{ON}{WITHIN}]"), F.translate("p", CUT + ON + WITHIN, "")).otherwise(col("p")))
+    f = f.withColumn("u", F.regexp_replace("q", STRUCTURE, "")).withColumn("n_items", F.regexp_count("u", F.lit(ITEM)))
+    f = f.withColumn("rest", F.when(col("n_items") > 0, F.regexp_replace("u", ITEM, "")).otherwise(col("u")))
+    f = f.withColumn("items", F.when(col("n_items") > 0, F.array_join(F.regexp_extract_all("u", F.lit(ITEM), F.lit(0)), "")).otherwise(""))
+    names = ["shown", "letters", "words", "unspaced", "plain", "symbols", "particles", "stops"]
+    whole, rest, items = (_counts(col(c), listed) for c in ("q", "rest", "items"))
+    f = f.select("*", *[v.alias(f"q_{k}") for k, v in whole.items()])
+    # Where nothing is structure the rest is the whole.
+    same = lambda k: F.when(col("rest") == col("q"), col(f"q_{k}")).otherwise(rest[k]).alias(f"r_{k}")
+    few_items = lambda k: F.when(col("items") != "", items[k]).otherwise(F.array().cast("array<string>") if k == "common" else zero).alias(f"i_{k}")
+    f = f.select("*", *[same(k) for k in [*names, "common"]], *[few_items(k) for k in [*names, "common"]])
+    cut_words = F.when(col("p").contains(WITHIN), F.regexp_count("p", F.lit(WITHIN))).otherwise(zero)
+    hits = [*names, "listed", *[f"in{i}" for i in range(len(by_lang))]]
+    of_list = lambda c, ws: F.size(F.filter(c, lambda w: w.isin(ws)))
+    heard = lambda c: {"listed": F.size(c)} | {f"in{i}": of_list(c, ws) for i, ws in enumerate(by_lang)}
+    spoken = {s: {k: col(f"{s}_{k}") for k in names} | heard(col(f"{s}_common")) for s in "ri"}
+    f = f.select(
+        "doc_id", "chunk", "paragraph", "n_items", col("q_shown").alias("shown"), (col("q_words") - cut_words).alias("words"),
+        (col("q_letters") - col("q_unspaced_letters")).alias("word_letters"), col("q_unspaced").alias("unspaced"), col("q_plain").alias("symbols"),
+        F.size("q_common").alias("common"), F.regexp_count("p", F.lit(rf"(?m)^(?![{ON}{WITHIN}]).*\S.*$")).alias("lines"),
+        F.regexp_count("p", F.lit(rf"(?m){SENTENCE_END}[ \t]*$")).alias("ended_lines"), F.col("p").rlike(rf"{SENTENCE_END}\s*$").alias("ended"),
+        *[v.alias(f"{s}_{k}") for s in "ri" for k, v in spoken[s].items()],
+    )
+    figures = ["shown", "words", "word_letters", "unspaced", "symbols", "common", "lines", "ended_lines"]
+
+    def judged(ended: Column) -> dict[str, Column]:
+        """Visible characters of prose and of structure; one item alone in its paragraph is no list."""
+        t = {k: col(f"r_{k}") + F.when(col("n_items") <= 1, col(f"i_{k}")).otherwise(0) for k in hits}
+        best = F.greatest(zero, zero, *[t[f"in{i}"] for i in range(len(by_lang))])
+        # Meaningless words hit short words of many languages; prose has its common words from one.
+        spaced = (best >= COMMON * t["words"]) | (t["listed"] >= PLENTY * t["words"])
+        few = (t["words"] < FEW) & (ended | (t["listed"] > 0))
+        unspaced = (t["particles"] >= PARTICLES * t["unspaced"]) | (t["stops"] * 60 >= t["unspaced"])
+        prose = (
+            (t["letters"] >= LETTERS * t["shown"]) & (t["symbols"] <= SYMBOLS * t["shown"])
+            & F.when(t["unspaced"] * 2 >= t["letters"], unspaced).otherwise(spaced | few)
+        )
+        return {"prose_shown": F.when(prose, t["shown"]).otherwise(0), "structure_shown": col("shown") - t["shown"]}
+
+    closed = col("paragraph").isNull()
+    # Of paragraphs within a chunk only the outcome is kept, so a chunk comes down to one row and those of its open ends.
+    f = f.withColumns({k: F.when(closed, v).otherwise(0) for k, v in judged(col("ended")).items()})
+    raw = ["n_items", *[f"{s}_{k}" for s in "ri" for k in hits]]
+    last = F.max(F.when(~closed & (col("shown") > 0), col("chunk").cast("bigint") * 2 + col("ended").cast("int")))
+    g = f.groupBy("doc_id", "paragraph").agg(
+        *[F.sum(c).alias(c) for c in [*figures, "prose_shown", "structure_shown"]],
+        *[F.sum(F.when(~closed, col(c)).otherwise(0)).alias(c) for c in raw], last.alias("last"),
     )
-    spaced = F.col("t_best") >= COMMON * F.col("t_words")
-    few = (F.col("t_words") < FEW) & (F.col("ended") | (F.col("t_common") > 0))
-    unspaced = (F.col("t_particles") >= PARTICLES * F.col("t_unspaced")) | (F.col("t_stops") * 60 >= F.col("t_unspaced"))
-    prose = (
-        (F.col("t_letters") >= LETTERS * F.col("t_shown"))
-        & (F.col("t_symbols") <= SYMBOLS * F.col("t_shown"))
-        & F.when(F.col("t_unspaced") * 2 >= F.col("t_letters"), unspaced).otherwise(spaced | few)
-    )
-    sums = p.groupBy("doc_id").agg(
-        *[F.sum(c).alias(c) for c in ("shown", "words", "word_letters", "unspaced", "symbols", "lines", "ended_lines", "common")],
-        F.sum(F.when(prose, F.col("t_shown")).otherwise(0)).alias("prose_shown"),
-        F.sum(F.col("shown") - F.col("t_shown")).alias("structure_shown"),
-    )
-    zero = F.coalesce
-    # A document without a single character has no chunk.
-    sums = d.select("doc_id").distinct().join(sums, "doc_id", "left")
-    n = lambda c: zero(F.col(c), F.lit(0).cast("bigint"))
-    ratio = lambda a, b: F.when(n(b) > 0, n(a) / n(b))
+    g = g.withColumns({k: F.when(closed, col(k)).otherwise(v) for k, v in judged(F.coalesce(F.pmod("last", F.lit(2)) == 1, F.lit(False))).items()})
+    sums = g.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in [*figures, "prose_shown", "structure_shown"]])
+    ratio = lambda a, b: F.when(col(b) > 0, col(a) / col(b))
     return sums.select(
-        "doc_id", n("words").alias("n_words"), n("unspaced").alias("n_unspaced"), n("lines").alias("n_lines"), n("shown").alias("n_shown"),
+        "doc_id", col("words").alias("n_words"), col("unspaced").alias("n_unspaced"), col("lines").alias("n_lines"), col("shown").alias("n_shown"),
         ratio("word_letters", "words").alias("mean_word_length"), ratio("symbols", "shown").alias("symbol_ratio"),
         ratio("ended_lines", "lines").alias("ended_line_ratio"), ratio("common", "words").alias("common_word_ratio"),
         ratio("structure_shown", "shown").alias("structure_ratio"), ratio("prose_shown", "shown").alias("prose_ratio"),
-        (n("prose_shown") * 2 < n("shown")).alias("not_prose"),
+        F.coalesce(ratio("prose_shown", "shown") < 0.5, F.lit(False)).alias("not_prose"),
     )
 
 

@@ -132,6 +132,26 @@ def test_chunks_change_nothing(spark, monkeypatch):
     assert [pieces[i] for i in sorted(pieces)] == [t for t in texts if t]
 
 
+def test_chunks_change_no_column(spark, monkeypatch):
+    """Single lines of 29,840 characters, lines about as long as a segment, and paragraphs cut anywhere."""
+    r = random.Random(4)
+    some = lambda bits, n: "".join(r.choice(bits) for _ in range(n))
+    texts = [some(["word ", "the ", "cat sat. ", "x, ", "| ", "a=1 b=2 ", "Why? ", "的了", "don't ", "n-n", "%", "\t"], 9000)[:29840], "a" * 29840, "a-" * 14920]
+    texts += [" " * 5000 + "the end. " * 2000, ("the cat sat on it. " * 2000)[:29840] + "\n\n- a\n- b\n\nx"]
+    texts += [some(["word", " ", " ", "\n", "\n\n", "a.", "x", "- item\n", "the ", "| a | b |\n", "  \n", "。", "猫的", "\r\n"], n) for n in (1, 40, 41, 200, 900, 5000)]
+    texts += ["x" * k + "\n" + "y" * k + " z." for k in (2047, 2048, 2049, 2050, 4096, 4097, 4098)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    common = spark.createDataFrame([("en", "the"), ("en", "on"), ("de", "word")], "lang string, word string")
+    seen = []
+    for size in (40, 8192, 10**6):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        seen.append({x.doc_id: tuple(x) for x in quality.statistics(df, common).collect()})
+        assert quality.chunks(df).count() > len(texts) if size < 10**6 else quality.chunks(df).count() == len(texts)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(texts)
+    by_hand = seen[0][4]
+    assert by_hand[3] == 4 and any(x[-1] for x in seen[0].values()) and not by_hand[-1]
+
+
 def test_odd_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id bigint, text string").repartition(4)
     common = spark.createDataFrame([("en", "the")], "lang string, word string")
