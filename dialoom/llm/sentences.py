@@ -39,12 +39,14 @@ GOES_ON = "and or at be the is was were in on when pour und y et for to from wit
 # Month names behind a German ordinal.
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 
-_SPANS = "|".join([
+# The first character is looked at before the alternatives.
+_SPANS = r"(?=[hw\"“„«‹「『(（\[【])(?:" + "|".join([
     r"(?:https?://|www\.)[^\s\x{3040}-\x{9fff}\x{ff00}-\x{ffef}]*[^\s\x{3040}-\x{9fff}\x{ff00}-\x{ffef}.!?,;:'\"”»’)\]]",
     r"(?<!\d)\"[^\"\n]*\"", "“[^”\n]*”", "„[^“”\n]*[“”]", "«[^»\n]*»", "‹[^›\n]*›", "「[^」\n]*」", "『[^』\n]*』",
     r"\([^()\n]*\)", "（[^（）\n]*）", r"\[[^\[\]\n]*\]", "【[^】\n]*】",
-])
-_MAY_SPAN = r"[\"“„«‹「『(（\[【]|://|www\."
+]) + ")"
+_MAY_SPAN = r"[\"“„«‹「『(（\[【]"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _ALONE, _START = r"(?<![\p{L}\p{N}\p{M}.])", r"(?<![\p{L}\p{N}])"
 
 
@@ -90,7 +92,7 @@ def masked(text: Column) -> Column:
     spans = F.array_join(
         F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(inside(p), F.substring_index(p, SHUT, -1)))), ""
     )
-    t = F.when(t.rlike(_MAY_SPAN), spans).otherwise(t)
+    t = F.when(t.rlike(_MAY_SPAN) | t.contains("://") | t.contains("www."), spans).otherwise(t)
     # In text begun without a capital, or all in capitals, only certain words show that the sentence goes on.
     dots = (
         F.when(~text.rlike(r"\p{Ll}"), sub(t, _dots(_ON, r"[\p{Lu}\p{Lo}]"), DOT))
@@ -111,7 +113,7 @@ def marked(text: Column) -> Column:
     """The masked text with END after each sentence and line."""
     sub = lambda t, rx: F.regexp_replace(t, rx, f"$0{END}")
     t = masked(text)
-    t = sub(t, rf"(?<![{TERMINATORS}])(?=[.…]*+[!?。！？؟।॥．｡]|…)[{TERMINATORS}]++{TAIL}(?![,;:，、،])")
+    t = sub(t, rf"(?=[{TERMINATORS}])(?<![{TERMINATORS}])(?=[.…]*+[!?。！？؟।॥．｡]|…)[{TERMINATORS}]++{TAIL}(?![,;:，、،])")
     t = sub(t, rf"(?<!\.)\.++{TAIL}(?={GAP}|\n|$|[{UNSPACED}])|\.(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{N}}][\p{{Ll}}\p{{N}}]\.)")
     # A quotation that closes with a terminator ends the sentence it stands at the end of, if a new one begins behind it.
     quoted = rf"(?<=[\p{{L}},:]{GAP}{{1,2}})[\"“«][^\"”»\n]*[{PLACEHOLDERS}]{GAP}?[\"”»](?={GAP}+\p{{Lu}}\p{{Ll}})"
@@ -126,9 +128,9 @@ def _spans(pieces: Column, total: Column) -> Column:
     group = 256
 
     def step(acc: Column, p: Column) -> Column:
-        size = F.length(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+        size = F.length(F.trim(p, F.lit(_SPACES)))
         s = F.struct(
-            (acc["at"] + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).cast("int").alias("start"),
+            (acc["at"] + F.length(p) - F.length(F.ltrim(p, F.lit(_SPACES)))).cast("int").alias("start"),
             size.alias("len"),
             p.rlike(r"[\p{L}\p{N}]").alias("word"),
             (acc["fresh"] & (p.endswith("\n") | (acc["at"] + F.length(p) == total))).alias("alone"),
@@ -163,7 +165,9 @@ def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
     """
     d = texts.withColumn("__p", F.split(marked(F.col(text)), END)).withColumn("__n", F.length(text))
     d = d.filter(F.col(text).rlike(r"(?U)\S")).withColumn("__spans", let(F.col("__p"), lambda p: _spans(p, F.col("__n"))))
-    return d.select(*texts.columns, F.posexplode("__spans").alias("sent_no", "__s")).select(
+    # The outer form, for the other one first computes the spans once more to drop texts without any.
+    d = d.select(*texts.columns, F.posexplode_outer("__spans").alias("sent_no", "__s")).filter(F.col("sent_no").isNotNull())
+    return d.select(
         *[c for c in texts.columns if c != text], "sent_no", F.col("__s.start").alias("sent_start"),
         F.substring(F.col(text), F.col("__s.start") + 1, F.col("__s.len")).alias("sentence"),
     )
