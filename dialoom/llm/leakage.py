@@ -98,7 +98,8 @@ def leaked_passages(items: DataFrame, corpus: DataFrame, window: int = WINDOW, e
     pieces = classes.select("c", F.posexplode(grams(F.split("t", " "), piece)).alias("i", "g"))
     pieces = cut(pieces.groupBy("c", "g").agg(F.min("i").alias("i")))
     spoken = corpus.select("doc", "pos", words(F.col("text")).alias("w"))
-    runs = spoken.select("doc", "pos", F.posexplode(grams(F.col("w"), piece)).alias("j", "g"))
+    # The outer form, for the other one first computes the runs once more to drop texts without any.
+    runs = spoken.select("doc", "pos", F.posexplode_outer(grams(F.col("w"), piece)).alias("j", "g"))
     n = pieces.count()
     hits = runs.join(F.broadcast(pieces), "g") if n <= BROADCAST_ROWS else salted_join(runs, pieces, "g")
     hits = cut(hits.groupBy("doc", "pos", "c").agg(F.collect_set(F.struct("i", "j")).alias("hits")))
