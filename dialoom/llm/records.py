@@ -44,8 +44,8 @@ def tie_keys(topic: Column, core_question: Column) -> Column:
 
 def ties(records: DataFrame) -> DataFrame:
     """(id, key), distinct, of records with id, topic and core_question; rows of one id are one record."""
-    flat = records.select("id", F.explode(tie_keys(F.col("topic"), F.col("core_question"))).alias("key"))
-    return flat.filter(F.col("id").isNotNull()).distinct()
+    flat = records.select("id", F.explode_outer(tie_keys(F.col("topic"), F.col("core_question"))).alias("key"))
+    return flat.filter(F.col("id").isNotNull() & F.col("key").isNotNull()).distinct()
 
 
 def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
