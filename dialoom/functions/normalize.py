@@ -75,13 +75,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def grams(tokens: Column, k: int | Column) -> Column:
+def grams(tokens: Column, k: int) -> Column:
     """64-bit hashes of every run of k tokens, in order; empty when there are fewer. Tokens are hashed once each."""
-    k = k if isinstance(k, Column) else F.lit(k)
 
     def runs(h: Column) -> Column:
         n = F.size(h) - k + 1
-        every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, k)))
+        one = lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
+        every = F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(1))), one)
         return F.when((n > 0) & (F.size(h) > 0), every).otherwise(F.array().cast("array<bigint>"))
 
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), runs)
