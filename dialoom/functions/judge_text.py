@@ -14,6 +14,12 @@ QUESTION = "?？؟"
 ABBREVIATIONS = ("e.g", "i.e", "vs", "etc", "cf", "al", "approx")
 TITLES = ("mr", "mrs", "ms", "dr", "prof")
 TRAILING = "[\\s\"'”’)\\]*_`~#>-]*"
+# What holds terminators that end nothing. Titles do so before a letter of either case.
+URL = r"(?U)https?://\S+"
+ACRONYM = r"(?U)\b(?:[A-Za-z]\.){2,}"
+INITIALS = r"(?U)\b(?:[A-Z]\.\s+)+[A-Z]\.(?=\s+[A-Z][a-z])"
+LIST_NUMBER = r"(?Umd)^\s*\d+(?:\.\d+)*\.(?=\s)"
+DECIMAL = r"(?U)(?<=\d)\.(?=\d)"
 _ON, _OFF = chr(0xE0FE), chr(0xE0FF)
 
 
@@ -37,15 +43,14 @@ def _inside(text: Column, pattern: str, chars: str) -> Column:
 
 def masked(text: Column) -> Column:
     """Terminators that end nothing, masked: in URLs, acronyms, initials, list numbers, decimals, abbreviations, titles."""
-    url = let(text, lambda t: F.when(t.contains("://"), _inside(t, r"(?U)https?://\S+", TERMINATORS)).otherwise(t))
+    url = let(text, lambda t: F.when(t.contains("://"), _inside(t, URL, TERMINATORS)).otherwise(t))
     return let(url, lambda t: F.when(t.contains("."), _dots(t)).otherwise(t))
 
 
 def _dots(t: Column) -> Column:
-    t = _inside(t, r"(?U)\b(?:[A-Za-z]\.){2,}", ".")
-    t = _inside(t, r"(?U)\b(?:[A-Z]\.\s+)+[A-Z]\.(?=\s+[A-Z][a-z])", ".")
-    t = _inside(t, r"(?Um)^\s*\d+(?:\.\d+)*\.(?=\s)", ".")
-    t = F.regexp_replace(t, r"(?U)(?<=\d)\.(?=\d)", MASK)
+    for pattern in (ACRONYM, INITIALS, LIST_NUMBER):
+        t = _inside(t, pattern, ".")
+    t = F.regexp_replace(t, DECIMAL, MASK)
     for a in ABBREVIATIONS:
         t = F.regexp_replace(t, rf"(?iU)\b{a.replace('.', '[.]')}\.", a.replace(".", MASK) + MASK)
     for a in TITLES:
@@ -63,7 +68,7 @@ def segments(text: Column) -> Column:
         F.regexp_extract_all(ln, F.lit(f"[^{TERMINATORS}]*[{TERMINATORS}]+"), F.lit(0)),
         F.filter(F.array(F.regexp_extract(ln, f"(?<![^{TERMINATORS}])[^{TERMINATORS}]*$", 0)), lambda s: ~s.rlike(f"(?U)^{TRAILING}$")),
     )
-    lines = F.filter(F.split(py_strip(masked(text)), "\n"), lambda ln: ln.rlike(r"(?U)\S"))
+    lines = F.filter(F.split(masked(py_strip(text)), "\n"), lambda ln: ln.rlike(r"(?U)\S"))
     one = lambda s: F.struct(
         py_strip(F.regexp_replace(s, f"[{TERMINATORS}]+$", "")).alias("seg"), F.regexp_extract(s, f"[{TERMINATORS}]+$", 0).alias("term")
     )
@@ -108,6 +113,37 @@ def parsed_verdict(reply: Column) -> Column:
     return F.when(value == "true", True).when(value == "false", False)
 
 
+def parsed_array(reply: Column) -> Column:
+    """The JSON array of strings in a reply, fenced or with text before it; null for a reply that holds none."""
+    body = F.regexp_replace(py_strip(reply), r"(?s)^```(?:json)?\s*|\s*```$", "")
+    return F.from_json(F.regexp_extract(body, r"(?s)\[.*$", 0), "array<string>")
+
+
+def json_text(s: Column) -> Column:
+    """The string as JSON with non-ASCII characters kept and control characters in lower-case hexadecimal."""
+    j = F.regexp_replace(F.to_json(F.array(s)), r"(?s)^\[|\]$", "")
+    fixed = j
+    for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{c:04X}", rf"$1\\u{c:04x}")
+    return F.when(j.rlike(r"\\u00[01][A-F]"), fixed).otherwise(j)
+
+
+def json_list(items: Column) -> Column:
+    """An array of strings as a JSON list with ", " between its members."""
+    one = lambda x: F.when(x.isNull(), "null").otherwise(json_text(x))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, one), ", "), F.lit("]"))
+
+
+def answer_text(summary: Column, answers: Column) -> Column:
+    """What counts as the answer: the summary, or else the expected answers, joined; empty if there is neither."""
+    return F.coalesce(F.nullif(summary, F.lit("")), F.array_join(F.coalesce(answers, F.array().cast("array<string>")), ", "))
+
+
+def verdict_key(question: Column, answer: Column, reply: Column) -> Column:
+    """The key under which a verdict is kept: SHA-256 of the JSON list of question, answer and reply."""
+    return F.sha2(json_list(F.array(question, answer, reply)), 256)
+
+
 def sha_prefix(s: Column, n: int) -> Column:
     return F.left(F.sha2(s, 256), F.lit(n))
 

@@ -1,10 +1,13 @@
 """Golden cases of the judge."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from dialoom.functions import judge_text as jt
-from dialoom.operators.judge import judged
+from dialoom.operators.judge import judged, keyed
 
 RULE = [
     ("", ["<empty response>"]), ("  \n", ["<empty response>"]), (None, ["<empty response>"]), ("What is it?", []), ("Really?!", ["Really?!"]),
@@ -55,3 +58,35 @@ def test_outcome(spark, reply, summary, answers, leak, want):
     v = spark.createDataFrame([] if leak is None else [("k", leak)], "verdict_key string, leak boolean")
     x = judged(r, v).collect()[0]
     assert (x.passed, x.leak_pass, x.judge_error) == want
+
+
+def test_text_is_stripped_before_it_is_masked(spark):
+    df = spark.createDataFrame([(1, "What?\n2. "), (2, " \n1. What?"), (3, "What?\u2028 2. why?")], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", jt.violations(F.col("t")).alias("v")).collect()}
+    assert got == {1: ["2."], 2: [], 3: ["2."]}
+
+
+def test_keys_are_those_of_json(spark):
+    rows = [["a", 'b"\\ü\n\t', "\x1f\x0b\\u001F\x01\x7f"], ["", None, "x"], []]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a array<string>")
+    got = {r.i: r.j for r in df.select("i", jt.json_list(F.col("a")).alias("j")).collect()}
+    assert got == {i: json.dumps(r, ensure_ascii=False) for i, r in enumerate(rows)}
+    key = df.filter("i = 0").select(jt.verdict_key(F.col("a")[0], F.col("a")[1], F.col("a")[2])).collect()[0][0]
+    assert key == hashlib.sha256(json.dumps(rows[0], ensure_ascii=False).encode()).hexdigest()
+
+
+def test_parsed_array(spark):
+    cases = [('["a", "b"]', ["a", "b"]), ('```json\n["é"]\n```', ["é"]), ('Here: ["a"] ok', ["a"]), ("[]", []), ("none", None), ('{"a": 1}', None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", jt.parsed_array(F.col("t")).alias("a")).collect()}
+    assert [got[i] for i in range(len(cases))] == [a for _, a in cases]
+
+
+def test_reasons_and_keys(spark):
+    rows = [("It is so.", "s", ["Paris"]), ("Is it Paris?", "s", ["Paris"]), ("Is it?", None, []), ("Is it?", "s", ["Paris"]), ("Is it 6?", None, ["6"]), ("Why?", "s", None)]
+    r = keyed(spark.createDataFrame([("q", *x) for x in rows], "core_question string, reply string, answer_summary string, expected_answers array<string>"))
+    keys = {x.reply: x.verdict_key for x in r.collect() if x.answer_summary or x.expected_answers}
+    assert len(set(keys.values())) == len(keys)
+    v = spark.createDataFrame([(keys["Is it?"], True, "told"), (keys["Is it 6?"], False, None), (keys["Is it 6?"], False, None)], "verdict_key string, leak boolean, reason string")
+    got = sorted((x.reply, x.passed, x.leak_reason) for x in judged(r, v).collect() if x.answer_summary or x.expected_answers)
+    assert got == [("Is it 6?", True, None), ("Is it Paris?", False, "string match: Paris"), ("Is it?", False, "told"), ("It is so.", False, None), ("Why?", None, "no verdict")]
