@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.operators.scale import ranked
+from dialoom.operators.scale import cut, ranked, salted_join
 
 # Category shares in their order, and the sizes of nested training sets.
 MIX = {"howto": 0.30, "factual": 0.20, "emotional": 0.15, "meta": 0.15, "math": 0.10, "smalltalk": 0.10}
@@ -69,6 +69,53 @@ def preceding(pool: DataFrame, group: str, last: int, block: int = 5000) -> Data
     return b.filter(F.col("__block") == own).drop("__block")
 
 
+def preceding_list(pool: DataFrame, group: str, value: str, last: int, keep: int, block: int = 5000) -> DataFrame:
+    """Adds `before` to the ranked pool(group, value, rn): the last `keep` values of the `last` ranks before; nulls are left out.
+
+    In blocks of ranks as in `preceding`.
+    """
+    from pyspark.sql.window import Window as W
+
+    if last > block:
+        raise ValueError("a block must hold the rows before")
+    own = F.floor((F.col("rn") - 1) / block)
+    lent = F.when((F.col("rn") - 1) % block >= block - last, F.array(own, own + 1)).otherwise(F.array(own))
+    w = W.partitionBy(group, "__block").orderBy("rn").rowsBetween(-last, -1)
+    b = pool.withColumn("__block", F.explode(lent)).withColumn("__all", F.collect_list(value).over(w))
+    b = b.filter(F.col("__block") == own)
+    return b.withColumn("before", F.slice("__all", F.greatest(F.lit(1), F.size("__all") - keep + 1), F.lit(keep))).drop("__block", "__all")
+
+
+def ordered_fold(keyed: DataFrame) -> DataFrame:
+    """(id) of the records that a pass in the order of ids accepts, dropping those of which an accepted one has a key.
+
+    keyed: (id, key), rows without either are left out. A record that comes first on all its keys is accepted whatever else
+    there is, and what shares a key with it is dropped; with these gone others come first. So each round settles at least
+    the first record of every key, no key is ever in one task, and the rounds are as many as the longest chain of such
+    decisions.
+    """
+    live = cut(keyed.select("id", "key").filter("id is not null and key is not null").distinct())
+    accepted = []
+    while live.count():
+        first = live.groupBy("key").agg(F.min("id").alias("first"))
+        at = salted_join(live, first, "key")
+        mine = at.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("wins"))
+        won = cut(mine.filter("wins").select("id"))
+        accepted.append(won)
+        taken = salted_join(live, won, "id", "left_semi").select("key").distinct()
+        hit = salted_join(live, taken, "key", "left_semi").select("id").distinct()
+        live = cut(salted_join(live, hit, "id", "left_anti"))
+    out = accepted[0] if accepted else live.select("id")
+    for a in accepted[1:]:
+        out = out.unionByName(a)
+    return out.select("id")
+
+
+def with_size(size: int, sizes: tuple[int, ...] = LADDER) -> tuple[int, ...]:
+    """The ladder up to a size of its own, which is its last rung."""
+    return (*[n for n in sizes if n < size], size)
+
+
 def rung_cuts(have: dict[str, int], sizes: tuple[int, ...] = LADDER) -> list[tuple[int, str, int]]:
     """(rung, category, kept): how many of each category the rung of each size keeps; a rung some category cannot fill is left out.
 

@@ -183,3 +183,7 @@ SQL: dict[str, str] = {
     "revenue_by_nation": """select n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue, count(*) as n from lineitem
       join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by n_name""",
 }
+
+from dialoom.plans import oracle_dialogues  # noqa: E402
+
+SQL |= oracle_dialogues.SQL

@@ -15,6 +15,8 @@ from dialoom.sources.readers import checkpoints, last_wins, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ID = r"^(.+)_([a-z]+)_(\d{5,})$"
+#: Records wanted of each split.
+SIZES = {"train": 2000, "test": 100, "eval_dev": 120, "eval_final": 80}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -99,9 +101,9 @@ def bad_turn_histogram(s, d):
 
 @query
 def rejection_reasons(s, d):
-    """Failing replies by reason, the first violation or the leak's reason, cut to 80 characters."""
+    """Failing replies by reason, the violations or the leak's reason, cut to 200 characters."""
     v = table(s, d, "verdicts").filter(~F.col("passed"))
-    reason = F.when(~F.col("syntax_pass"), F.left(F.array_join("syntax_violations", "; "), F.lit(80))).otherwise(F.left("leak_reason", F.lit(80)))
+    reason = F.when(~F.col("syntax_pass"), F.left(F.array_join("syntax_violations", "; "), F.lit(200))).otherwise(F.left("leak_reason", F.lit(200)))
     return v.groupBy(F.when(~F.col("syntax_pass"), "syntax").otherwise("leak").alias("kind"), reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -151,7 +153,7 @@ def unknown_scenarios(s, d):
 
 @query
 def reply_size_by_model(s, d):
-    """Replies and their characters and bytes by model."""
+    """Replies by model, their characters and tokens of a byte-level tokenizer (bytes)."""
     v = table(s, d, "verdicts")
     return v.groupBy("model_slug").agg(
         F.count("*").alias("n_replies"), F.sum(F.length("reply")).alias("n_chars"), F.sum(F.octet_length("reply")).alias("n_bytes")
@@ -170,7 +172,7 @@ def turn_facts(s, d):
 
 @query
 def history_prefix(s, d):
-    """What was said before each turn, as counts and a hash of the last two messages."""
+    """What was said before each turn, as counts and a hash of the last two messages."""
     w = W.partitionBy("id").orderBy("pos", "role", "content")
     t = turns(s, d)
     before = w.rowsBetween(W.unboundedPreceding, -1)
@@ -210,14 +212,14 @@ def chat_text_hash(s, d):
 
 @query
 def sft_projection(s, d):
-    """Kept conversations as id, category and size; dropped ones are left out."""
+    """kept conversations as id, category and size; dropped ones are left out."""
     c = one_conv(s, d, "messages", "status").filter("status = 'ok'")
     return c.select("id", category_of(F.col("id")).alias("category"), F.coalesce(F.size(F.coalesce("messages", F.array())), F.lit(0)).alias("n_messages"))
 
 
 @query
 def merged_answers(s, d):
-    """Expected answers and persona parts in one array, duplicates kept."""
+    """Expected answers and persona parts in one array, duplicates kept."""
     c = one_conv(s, d, "expected_answers", "persona")
     arr = F.concat(F.coalesce("expected_answers", F.array()), F.coalesce(F.split("persona", "; "), F.array()))
     return c.select("id", F.array_join(arr, "|").alias("merged"), F.size(arr).alias("n"))
@@ -225,7 +227,7 @@ def merged_answers(s, d):
 
 @query
 def shift_summary(s, d):
-    """Summary of a topic shift, without separators at its ends, null when empty."""
+    """Answer summary and reason joined, without separators at its ends, null when empty."""
     c = one_conv(s, d, "answer_summary", "drop_reason")
     text = F.concat(F.coalesce("answer_summary", F.lit("")), F.lit("; after the topic shift: "), F.coalesce("drop_reason", F.lit("")))
     return c.select("id", F.nullif(F.trim(text, F.lit("; ")), F.lit("")).alias("summary"))
@@ -233,7 +235,7 @@ def shift_summary(s, d):
 
 @query
 def first_turn_dedup(s, d):
-    """Blueprints whose normalised first turn came before under another id."""
+    """Blueprints whose normalised first turn came before under another id."""
     b = table(s, d, "blueprints").select("id", jt.norm(F.get("turns", F.lit(0))).alias("t")).filter("t is not null").distinct()
     b = b.select("id", jt.sha_prefix(F.col("t"), 16).alias("sha"))
     first = b.groupBy("sha").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
@@ -275,7 +277,7 @@ def masked_segments(s, d):
 
 @query
 def judged_replies(s, d):
-    """The judge over all assistant messages, with the verdict table's answers by reply hash."""
+    """Rule 1 and 2: the judge over all assistant messages, with the verdict table's answers by reply."""
     c = one_conv(s, d, "expected_answers", "answer_summary", "messages")
     m = c.select("id", "expected_answers", "answer_summary", F.explode("messages").alias("m")).filter("m.role = 'assistant'")
     m = m.withColumn("reply", F.coalesce("m.content", F.lit(""))).withColumn("verdict_key", F.sha2("reply", 256)).drop("m")
@@ -341,7 +343,7 @@ def failed_turn_reasons(s, d):
     """Ticket reasons by turn; empty and null reasons are one."""
     t = table(s, d, "tickets").select("id", F.explode("failed_turns").alias("f"))
     reason = F.coalesce(F.nullif(F.trim("f.reason"), F.lit("")), F.lit("none"))
-    return t.groupBy(F.col("f.turn").alias("turn"), F.left(reason, F.lit(40)).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+    return t.groupBy(F.col("f.turn").alias("turn"), reason.alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
 
 
 @query
@@ -401,15 +403,13 @@ def distinct_categories(s, d):
 @query
 def topic_targets(s, d):
     """Topics wanted for each split and category."""
-    sizes = {"train": 2000, "test": 100, "eval_dev": 120, "eval_final": 80}
-    return assemble.targets(s, sizes, {"train": 1.30, "test": 1.30, "eval_dev": 1.15, "eval_final": 1.15}, 2)
+    return assemble.targets(s, SIZES, {"train": 1.30, "test": 1.30, "eval_dev": 1.15, "eval_final": 1.15}, 2)
 
 
 @query
 def blueprint_targets(s, d):
     """Records wanted for each split and category."""
-    sizes = {"train": 2000, "test": 100, "eval_dev": 120, "eval_final": 80}
-    return assemble.targets(s, sizes, {"train": 1.15, "test": 1.15, "eval_dev": 1.05, "eval_final": 1.05}, 0)
+    return assemble.targets(s, SIZES, {"train": 1.15, "test": 1.15, "eval_dev": 1.05, "eval_final": 1.05}, 0)
 
 
 @query
@@ -435,7 +435,7 @@ def ladder_rungs(s, d):
 
 @query
 def extension_ids(s, d):
-    """First free index of each category, in the range for extensions."""
+    """First free index of each category, in the range for extensions."""
     i = conv_ids(s, d).filter("split = 'train'").groupBy("category").agg(F.greatest(F.lit(90000), F.max("idx") + 1).alias("first_free"))
     return i.select("category", "first_free", F.format_string("train_%s_%05d", "category", "first_free").alias("first_id"))
 
@@ -500,16 +500,19 @@ def quality_by_source(s, d):
 
 @query
 def stale_sizes(s, d):
-    """documents whose stored size is not that of the text."""
+    """Documents whose stored size is not that of the text."""
     doc = table(s, d, "documents")
     return doc.filter("n_chars <> length(text)").select("doc_id", "n_chars", F.length("text").alias("real_chars"))
 
 
 @query
 def revenue_by_nation(s, d):
-    """Joins over the star schema: revenue of each customer nation and year."""
+    """Joins over the star schema: revenue of each customer nation."""
     li = table(s, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     n = table(s, d, "nation").select("n_nationkey", "n_name")
     return li.join(o, "l_orderkey").join(c, "o_custkey").join(n, "n_nationkey").groupBy("n_name").agg(F.round(F.sum("r"), 0).alias("revenue"), F.count("*").alias("n"))
+
+
+from dialoom.plans import dialogues  # noqa: E402, F401  adds its queries to QUERIES
