@@ -47,7 +47,6 @@ _OUT = f"""scen as (select model_slug, scenario_id, bool_and(coalesce(passed, fa
   bool_or(coalesce(judge_error, false) or passed is null) as any_error, count(*) filter (not coalesce(passed, true)) as n_failed
   from v group by model_slug, scenario_id)"""
 _ESC = r"regexp_replace(lower(trim(a)), '([^\p{L}\p{N}\s])', '\\\1', 'g')"
-_SPAN_WANTED = _targets({"eval_final": 8, "eval_dev": 12, "test": 10, "train": 100}, dict.fromkeys(("eval_final", "eval_dev", "test", "train"), 1.15), 0)
 
 SQL: dict[str, str] = {
     "summary_by_model_category": f"""with {_LATEST} select model_slug, category, count(*) as n_rows,
@@ -66,9 +65,6 @@ SQL: dict[str, str] = {
     "per_turn_failure": f"""with {_LATEST} select turn, count(*) as n, count(*) filter (not passed) as n_failed,
       count(*) filter (not passed) / count(*) as failed_share from v where passed is not null group by turn""",
     "bad_turn_histogram": f"with {_LATEST}, {_OUT} select n_failed, count(*) as n_scenarios from scen group by n_failed",
-    "rejection_reasons": """select case when not syntax_pass then 'syntax' else 'leak' end as kind,
-      case when not syntax_pass then left(array_to_string(syntax_violations, '; '), 80) else left(leak_reason, 80) end as reason,
-      count(*) as n from verdicts where not passed group by 1, 2""",
     "running_best_regression": f"""with {_LATEST}, daily as (select strftime(judged_at at time zone 'UTC', '%Y-%m-%d') as day,
       count(*) filter (passed) / count(*) as clean_share from v where passed is not null and judged_at is not null group by 1),
       b as (select *, max(clean_share) over (order by day rows between unbounded preceding and 1 preceding) as best_before from daily)
@@ -129,8 +125,6 @@ SQL: dict[str, str] = {
     "duplicate_ids_ci": "select lower(id) as id, count(*) as n from convs group by 1 having count(*) > 1",
     "tickets_latest": """select t.id, max(coalesce(attempts, 0)) as attempts, count(distinct raw_sha) as n_versions,
       t.id in (select id from convs) as known from tickets t where t.id is not null group by t.id""",
-    "failed_turn_reasons": """select f.turn as turn, left(coalesce(nullif(trim(f.reason), ''), 'none'), 40) as reason, count(*) as n,
-      count(distinct id) as n_ids from (select id, unnest(failed_turns) as f from tickets) group by 1, 2""",
     "pending_ids": """select distinct id from tickets t where not exists (select 1 from convs c where c.status = 'ok' and c.id = t.id)
       and not exists (select 1 from tombstones b where b.id = t.id)""",
     "ticketed_convs": f"with {_IDS} select category, count(*) as n from ids where id in (select id from tickets) group by category",
@@ -149,9 +143,6 @@ SQL: dict[str, str] = {
     "topic_targets": _targets(_SIZES, {"train": 1.3, "test": 1.3, "eval_dev": 1.15, "eval_final": 1.15}, 2),
     "blueprint_targets": _targets(_SIZES, {"train": 1.15, "test": 1.15, "eval_dev": 1.05, "eval_final": 1.05}, 0),
     "shuffled_order": f"with {_IDS}, {_shuffled('ids', '42')} select id, category, rn from p",
-    "split_ranges": f"""with {_IDS}, {_shuffled('ids', '43')}, w as ({_SPAN_WANTED}),
-      s as (select *, sum(target) over (partition by category order by list_position(['eval_final', 'eval_dev', 'test', 'train'], split)) as high from w)
-      select p.id, p.category, s.split from p join s on s.category = p.category and p.rn > s.high - s.target and p.rn <= s.high""",
     "ladder_rungs": f"""with {_IDS}, t as (select * from ids where split = 'train'), {_shuffled('t', '44')},
       mix as (select * from (values ('howto', 0.3::double, 1), ('factual', 0.2::double, 2), ('emotional', 0.15::double, 3), ('meta', 0.15::double, 4), ('math', 0.1::double, 5), ('smalltalk', 0.1::double, 6)) x(category, f, k)),
       rungs as (select * from (values (10), (20), (40), (125), (250), (500), (1000), (2000), (2500), (5000)) r(rung)),

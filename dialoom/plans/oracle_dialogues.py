@@ -163,6 +163,13 @@ SQL: dict[str, str] = {
       count(*) filter (passed is null) as n_errors, count(*) filter (not syntax_pass) as n_syntax, count(*) filter (syntax_pass and not leak_pass) as n_leak,
       count(*) filter (passed) / greatest(1, count(*) filter (passed is not null)) as adherence from p group by model_slug""",
     "leak_reasons": f"with {_REJUDGED} select leak_reason, passed, count(*) as n from p group by 1, 2",
+    "failure_reasons": """select case when syntax_pass then 'leak' else 'syntax' end as kind,
+      left(case when syntax_pass then leak_reason else array_to_string(syntax_violations, '; ') end, 200) as reason, count(*) as n from verdicts where not passed group by 1, 2""",
+    "ticket_reasons": """select f.turn as turn, coalesce(nullif(trim(f.reason), ''), 'none') as reason, count(*) as n, count(distinct id) as n_ids
+      from (select id, unnest(failed_turns) as f from tickets) group by 1, 2""",
+    "split_assignment": f"""with {_IDS}, {_shuffled('ids', '43')}, w as ({_targets(_SIZES, {"train": 1.3, "test": 1.3, "eval_dev": 1.15, "eval_final": 1.15}, 2)}),
+      s as (select *, sum(target) over (partition by category order by list_position(['eval_final', 'eval_dev', 'test', 'train'], split)) as high from w)
+      select p.id, p.category, s.split from p join s on s.category = p.category and p.rn > s.high - s.target and p.rn <= s.high""",
     "category_table": f"""with {_BYCAT}, {_OUT}, r as (select model_slug, {_id('scenario_id', 2)} as category, count(*) filter (not any_error) as n_clean,
         count(*) filter (not any_error and all_passed) / greatest(1, count(*) filter (not any_error)) as robustness from scen group by 1, 2),
       a as (select model_slug, category, count(*) filter ({_JUDGED} and passed) / greatest(1, count(*) filter ({_JUDGED})) as adherence,

@@ -100,7 +100,7 @@ def bad_turn_histogram(s, d):
 
 
 @query
-def rejection_reasons(s, d):
+def failure_reasons(s, d):
     """Failing replies by reason, the violations or the leak's reason, cut to 200 characters."""
     v = table(s, d, "verdicts").filter(~F.col("passed"))
     reason = F.when(~F.col("syntax_pass"), F.left(F.array_join("syntax_violations", "; "), F.lit(200))).otherwise(F.left("leak_reason", F.lit(200)))
@@ -339,7 +339,7 @@ def tickets_latest(s, d):
 
 
 @query
-def failed_turn_reasons(s, d):
+def ticket_reasons(s, d):
     """Ticket reasons by turn; empty and null reasons are one."""
     t = table(s, d, "tickets").select("id", F.explode("failed_turns").alias("f"))
     reason = F.coalesce(F.nullif(F.trim("f.reason"), F.lit("")), F.lit("none"))
@@ -419,11 +419,10 @@ def shuffled_order(s, d):
 
 
 @query
-def split_ranges(s, d):
-    """Consecutive ranges of the permutation, given to the splits by their targets."""
+def split_assignment(s, d):
+    """Consecutive ranges of the permutation, given to the splits by their topic targets; a pool may be short."""
     pool = assemble.shuffled(conv_ids(s, d).select("id", "category"), ["category"], "id", "43")
-    wanted = assemble.targets(s, {"eval_final": 8, "eval_dev": 12, "test": 10, "train": 100}, dict.fromkeys(("eval_final", "eval_dev", "test", "train"), 1.15), 0)
-    return assemble.range_allocation(pool, wanted, ["eval_final", "eval_dev", "test", "train"]).select("id", "category", "split")
+    return assemble.range_allocation(pool, topic_targets(s, d), ["eval_final", "eval_dev", "test", "train"]).select("id", "category", "split")
 
 
 @query
