@@ -160,7 +160,7 @@ SQL: dict[str, str] = {
     "round_robin": f"with {_IDS}, {_shuffled('ids', '42')} select category, cast((rn - 1) % 8 as bigint) as slot, count(*) as n from p group by 1, 2",
     "avoid_list": f"""with {_IDS}, {_shuffled('ids', '42')} select id,
       max(idx) over (w rows between 80 preceding and 1 preceding) as max_before, count(*) over (w rows between 80 preceding and 1 preceding) as n_before
-      from p window w as (partition by category, (rn - 1) // 5000 order by rn)""",
+      from p window w as (partition by category order by rn)""",
     "batch_sizes": """with n as (select count(distinct id) as n from convs)
       select 8 as size, n // 8 as n_batches from n where n >= 8 union all select n % 8, 1 from n where n % 8 > 0""",
     "ordered_limit": "select distinct id from convs order by id limit 100",
