@@ -1,5 +1,6 @@
 """Readers, writers and the inbox on a temporary folder."""
 
+import hashlib
 import json
 import os
 
@@ -54,3 +55,31 @@ def test_inbox_drains_and_resumes(spark, tmp_path):
     put("a3.json", {"id": "a", "turns": ["x", "y"]})
     inbox.drain(spark, box, state, check)
     assert {r.id: (r.versions, r.n_turns) for r in inbox.read_state(spark, state).collect()} == {"a": (2, 2), "b": (1, 0)}
+
+
+def test_inbox_keeps_the_version_written_last(spark, tmp_path):
+    state, check = str(tmp_path / "state"), str(tmp_path / "check")
+    for n, (first, second) in enumerate((("aaa", "bbb"), ("bbb", "aaa"))):
+        box = tmp_path / f"box{n}"
+        os.mkdir(box)
+        for k, text in enumerate((first, second)):
+            f = box / f"{1 - k}.json"  # the later file has the smaller name
+            f.write_text(json.dumps({"id": f"x{n}", "turns": [text] * (k + 1)}))
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+        inbox.drain(spark, str(box), state, f"{check}{n}")
+        row = inbox.read_state(spark, state).filter(f"id = 'x{n}'").collect()[0]
+        assert (row.n_turns, row.versions) == (2, 1)
+        last = hashlib.sha256(json.dumps({"id": f"x{n}", "turns": [second] * 2}).encode()).hexdigest()[:16]
+        assert row.content_sha == last and sum(r.id == f"x{n}" for r in inbox.read_state(spark, state).collect()) == 1
+
+
+def test_inbox_retires_old_versions(spark, tmp_path):
+    box, state, check = (str(tmp_path / x) for x in ("box", "state", "check"))
+    os.mkdir(box)
+    for k in range(6):
+        for i in range(3):
+            with open(f"{box}/{k}-{i}.json", "w") as f:
+                json.dump({"id": f"d{i}", "turns": ["t"] * k}, f)
+        inbox.drain(spark, box, state, check)
+    assert {r.id: (r.versions, r.n_turns) for r in inbox.read_state(spark, state).collect()} == {f"d{i}": (6, 5) for i in range(3)}
+    assert len([d for d in os.listdir(state) if d.startswith("v")]) == 2

@@ -101,3 +101,42 @@ def test_first_wins_and_batches(spark):
     assert {(r.k, r.v) for r in assemble.first_wins(df, "k", "o").collect()} == {("a", "y"), ("b", None), (None, "w")}
     b = assemble.batches(spark.range(20).withColumnRenamed("id", "i"), "i", 8).groupBy("batch").count().collect()
     assert sorted(r["count"] for r in b) == [4, 8, 8] and math.isclose(min(r.batch for r in b), 0)
+
+
+def test_ordered_fold_is_a_pass_in_order(spark):
+    r = random.Random(3)
+    rows = [(f"r{i:04d}", f"k{r.randint(0, 150)}") for i in range(400) for _ in range(r.randint(1, 3))] + [(f"r{i:04d}", "hot") for i in range(0, 400, 9)]
+    rows += [(f"z{i:03d}", f"c{j}") for i in range(12) for j in (i, i + 1)]  # a chain, where every second is accepted
+    want, seen = [], set()
+    for i in sorted({i for i, _ in rows}):
+        keys = {k for j, k in rows if j == i}
+        if not keys & seen:
+            seen |= keys
+            want.append(i)
+    df = spark.createDataFrame([*rows, *rows[:5], (None, "a"), ("x", None)], "id string, key string")
+    assert sorted(x.id for x in assemble.ordered_fold(df).collect()) == want
+    assert assemble.ordered_fold(df.filter("false")).count() == 0
+
+
+def test_dialogue_and_turn_issues(spark):
+    good = [("user", "hi"), ("assistant", "Why?")] * 2
+    cases = [
+        (good, []), (good[:3], ["needs 4 messages"]), (None, ["needs 4 messages"]),
+        ([("user", "is it Paris"), ("assistant", "It is. Why?"), ("assistant", " "), ("assistant", "Is it Paris?")],
+         ["message 2 is no user message", "turn 1 breaks the rule", "turn 2 breaks the rule", "turn 2 says the answer Paris", "user turn 1 says the answer Paris"]),
+        ([("user", "six"), ("assistant", "Is it six?"), ("user", None), ("assistant", "What?")], ["message 2 is no user message", "user turn 1 says the answer six", "user turn 2 empty"]),
+    ]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i int, m array<struct<role: string, content: string>>")
+    answers = F.array(F.lit("six"), F.lit("Paris"))
+    got = {r.i: r.x for r in df.select("i", validate.dialogue_issues(F.col("m"), answers, F.lit(2)).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+    t = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, ["six", ""])], "i int, t array<string>")
+    got = {r.i: r.x for r in t.select("i", validate.turn_list_issues(F.col("t"), answers, F.lit(2)).alias("x")).collect()}
+    assert got == {1: [], 2: ["needs 2 turns"], 3: ["user turn 1 says the answer six", "user turn 2 empty"]}
+
+
+def test_preceding_list_across_blocks(spark):
+    df = spark.createDataFrame([("a", f"v{i}", i) for i in range(1, 60)], "g string, v string, rn int")
+    got = {r.rn: r.before for r in assemble.preceding_list(df, "g", "v", 8, 5, block=10).collect()}
+    assert got == {i: [f"v{j}" for j in range(max(1, i - 8), i)][-5:] for i in range(1, 60)}
+    assert assemble.with_size(300, (10, 400)) == (10, 300)
