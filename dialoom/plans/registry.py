@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -50,10 +50,14 @@ def one_conv(s: SparkSession, d: str, *cols: str) -> DataFrame:
     return assemble.first_wins(table(s, d, "convs").select("id", F.col("landed_at").alias("__at"), *cols), "id", "__at").drop("__at")
 
 
-def turns(s: SparkSession, d: str) -> DataFrame:
+def turns(s: SparkSession, d: str, **derived: Column) -> DataFrame:
+    """(id, pos, role, and what is derived from content) of each message; messages delivered again count once.
+
+    They are told apart by a hash of the text, so that texts need not be shuffled.
+    """
     c = table(s, d, "convs").select("id", F.posexplode("messages").alias("pos", "m"))
     c = c.select("id", "pos", F.col("m.role").alias("role"), F.coalesce("m.content", F.lit("")).alias("content"))
-    return c.distinct()
+    return c.select("id", "pos", "role", F.xxhash64("content").alias("__h"), *[v.alias(k) for k, v in derived.items()]).distinct().drop("__h")
 
 
 # --- metrics
@@ -166,15 +170,15 @@ def reply_size_by_model(s, d):
 @query
 def turn_facts(s, d):
     """Assistant turns with their number."""
-    t = turns(s, d).filter("role = 'assistant'")
-    return t.select("id", "pos", (F.floor(F.col("pos") / 2) + 1).alias("turn"), F.length("content").alias("n_chars"))
+    t = turns(s, d, n_chars=F.length("content")).filter("role = 'assistant'")
+    return t.select("id", "pos", (F.floor(F.col("pos") / 2) + 1).alias("turn"), "n_chars")
 
 
 @query
 def history_prefix(s, d):
     """What was said before each turn, as counts and a hash of the last two messages."""
     w = W.partitionBy("id").orderBy("pos", "role", "content")
-    t = turns(s, d)
+    t = turns(s, d, content=F.col("content"))
     before = w.rowsBetween(W.unboundedPreceding, -1)
     return t.select(
         "id", "pos", F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)).alias("chars_before"), F.count("*").over(before).alias("messages_before"),
@@ -261,8 +265,7 @@ def weak_variants(s, d):
 @query
 def terminator_rule(s, d):
     """Assistant messages by how they keep the rule that everything said ends as a question."""
-    t = turns(s, d).filter("role = 'assistant'")
-    v = t.select("id", F.size(jt.violations(F.col("content"))).alias("n"))
+    v = turns(s, d, n=F.size(jt.violations(F.col("content")))).filter("role = 'assistant'")
     return v.groupBy(category_of(F.col("id")).alias("category")).agg(
         F.count("*").alias("n_messages"), F.count_if(F.col("n") == 0).alias("n_pass"), F.sum("n").alias("n_violations")
     )
