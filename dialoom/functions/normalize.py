@@ -75,13 +75,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def grams(tokens: Column, k: int) -> Column:
-    """64-bit hashes of every run of k tokens, in order; empty when there are fewer. Tokens are hashed once each."""
+def runs(hashes: Column, k: int) -> Column:
+    """64-bit hashes of every run of k hashes, in order; empty when there are fewer. The column is read often, so bind it first."""
+    n = F.size(hashes) - k + 1
+    one = lambda x, i: F.xxhash64(x, *[F.get(hashes, i + j) for j in range(1, k)])
+    every = F.transform(F.slice(hashes, F.lit(1), F.greatest(n, F.lit(1))), one)
+    return F.when((n > 0) & (F.size(hashes) > 0), every).otherwise(F.array().cast("array<bigint>"))
 
-    def runs(h: Column) -> Column:
-        n = F.size(h) - k + 1
-        one = lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
-        every = F.transform(F.slice(h, F.lit(1), F.greatest(n, F.lit(1))), one)
-        return F.when((n > 0) & (F.size(h) > 0), every).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.transform(tokens, lambda w: F.xxhash64(w)), runs)
+def grams(tokens: Column, k: int) -> Column:
+    """The same of every run of k tokens; tokens are hashed once each."""
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: runs(h, k))
