@@ -127,6 +127,36 @@ def test_near_pairs_with_scattered_edits(spark):
     assert got == want and len(want) == len(right)
 
 
+def changed(r, w, share, mark):
+    """w with that share of its words, at random places, replaced by others or by words found nowhere else."""
+    v = list(w)
+    for k in r.sample(range(len(w)), round(len(w) * share)):
+        v[k] = r.choice(SAY) if r.random() < 0.5 else f"{mark}x{k}"
+    return v
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_recall_in_every_cell(spark, monkeypatch, limit):
+    """Texts of 14 to 400 words with 5 to 25 % changed: no pair over the bound is lost, whichever way prefixes are found."""
+    r = random.Random(11)
+    left, right, cell = [], [], []
+    for n in (14, 20, 30, 48, 60, 120, 400):
+        for share in (0.05, 0.10, 0.15, 0.20, 0.23, 0.25):
+            for i in range(2):
+                base = [r.choice(SAY) if r.random() < 0.7 else f"w{r.randint(0, 300)}" for _ in range(n)]
+                left.append(base)
+                right.append(changed(r, base, share, f"n{n}i{i}"))
+                cell.append((n, share))
+    side = lambda k, ws: [(k, i, " ".join(w)) for i, w in enumerate(ws)]
+    df = spark.createDataFrame(side(0, left) + side(1, right), "side int, class bigint, text string")
+    monkeypatch.setattr(overlap.prefixes, "__defaults__", (limit,))
+    got = {(x.class_a, x.class_b) for x in overlap.near_pairs(df).collect()}
+    common = {(i, j): overlap.word_lcs(a, b) for i, a in enumerate(left) for j, b in enumerate(right)}
+    want = {(i, j) for (i, j), n in common.items() if n >= 0.75 * max(len(left[i]), len(right[j]))}
+    assert got == want
+    assert {cell[i] for i, j in want if i == j} >= {(n, s) for n, s in cell if s <= 0.23}
+
+
 def test_overlap_query(spark, folder):
     text = " ".join(SAY)
     m = lambda t: [("user", t), ("assistant", "so?"), (None, None), ("user", None)]
