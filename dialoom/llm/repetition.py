@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.functions.normalize import UNSPACED, grams, let, words
+from dialoom.functions.normalize import UNSPACED, let, runs, words
 from dialoom.llm.sentences import message_texts
 
 #: Rows the model is fitted on: a sample by hash of texts up to TRAIN_CHARS characters, and as many made repetitive from it.
@@ -47,8 +47,8 @@ def features(docs: DataFrame) -> DataFrame:
     return d.select(
         *docs.columns,
         ratio(F.col("__h")).alias("distinct_words"),
-        ratio(grams(F.col("w"), 2)).alias("distinct_pairs"),
-        F.when(unspaced, ratio(grams(F.col("w"), PHRASE_UNSPACED))).otherwise(ratio(grams(F.col("w"), PHRASE))).alias("distinct_phrases"),
+        ratio(runs(F.col("__h"), 2)).alias("distinct_pairs"),
+        F.when(unspaced, ratio(runs(F.col("__h"), PHRASE_UNSPACED))).otherwise(ratio(runs(F.col("__h"), PHRASE))).alias("distinct_phrases"),
         ratio(F.col("__l")).alias("distinct_lines"),
         (same / F.greatest(n, F.lit(1))).alias("in_place"),
         F.log1p(n).alias("log_words"),
