@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.functions.normalize import UNSPACED, visible
+from dialoom.functions.normalize import INVISIBLE, UNSPACED
 from dialoom.llm.records import table
 
 #: Characters a chunk; and how far a line reaches before it is cut into segments, each judged as a line.
@@ -40,17 +40,18 @@ PARTICLE = (
 )
 _LETTER = r"\p{L}\p{M}"
 _SEP = r"[ \t]+(?:\||»|>|›|→|·|•|::)[ \t]+"
-# Lines whose form is not that of running text. Each alternative is matched from the start of a line to its end.
+# Lines whose form is not that of running text. Each alternative is matched from the start of a line to its end; where its
+# beginning could be of any length, it first looks whether the line has the character that it needs.
 STRUCTURE = r"(?m)^(?:" + "|".join([
     r"[ \t]*\|.*",  # table row
-    r"(?=[^\t\n]*\t[^\t\n]*\t).*",  # tab-separated
-    r"(?:[^,\n]*(?:,[^\s\d,]|(?<!\d),(?=\d)|,(?=,))){2}[^\n]*", r"(?:[^;\n]*;(?=\S)){2}[^\n]*",  # comma- and semicolon-separated
-    r"[ \t]*[\[{][ \t]*[\"\[{][^\n]*[:,\]}][^\n]*", r"[^\n]*\"[\w$-]+\"[ \t]*:[ \t]*[\"\d\[{tfn-][^\n]*",  # JSON
+    r"(?=[^\t\n]*+\t[^\t\n]*+\t).*",  # tab-separated
+    r"(?=[^,\n]*+,[^,\n]*+,)(?:[^,\n]*(?:,[^\s\d,]|(?<!\d),(?=\d)|,(?=,))){2}[^\n]*", r"(?=[^;\n]*+;)(?:[^;\n]*;(?=\S)){2}[^\n]*",  # comma- and semicolon-separated
+    r"[ \t]*[\[{][ \t]*[\"\[{][^\n]*[:,\]}][^\n]*", r"(?=[^\"\n]*+\")[^\n]*\"[\w$-]+\"[ \t]*:[ \t]*[\"\d\[{tfn-][^\n]*",  # JSON
     r"[^\n]*\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b[^\n]*[=:\[][^\n]*",  # log
-    r"[ \t]*\d{9,13}[ \t][^\n]*", r"[ \t]*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d[^\n]*", r"[^\n=]*\w=[^\s=]+[ \t]+[\w.]+=[^\s=]+[^\n]*",
+    r"[ \t]*\d{9,13}[ \t][^\n]*", r"[ \t]*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d[^\n]*", r"(?=[^\n=]*+=)[^\n=]*\w=[^\s=]+[ \t]+[\w.]+=[^\s=]+[^\n]*",
     r"[ \t]*(?:def|class|import|from|return|elif|else|try|except|while|function|var|let|const|public|private|static|void|int)\b[^\n]*[:;({)}=][^\n]*",
     r"[ \t]*(?:if|for|while)\b[^\n]*(?:[=!<>]=|\bin\b|[<>(])[^\n]*[:{][^\n]*", r"[ \t]*(?://|/\*|#!|#include|\*/|--)[^\n]*",  # code
-    r"[ \t]*[\w.\[\]]+[ \t]*[-+*/|&]?=[ \t]*[^\n]*", r"[^\n]*[{}][ \t]*", r"(?=[^\n]*;[ \t]*$)[^\n]*[=()\[\]\"'][^\n]*", r"[ \t]*[\w.]+\([^\n]*\)[ \t;]*", r"[ \t]*</?[A-Za-z][^>\n]*>[^\n]*",
+    r"[ \t]*[\w.\[\]]+[ \t]*[-+*/|&]?=[ \t]*[^\n]*", r"(?=[^{}\n]*+[{}])[^\n]*[{}][ \t]*", r"(?=[^;\n]*+;)(?=[^\n]*;[ \t]*$)[^\n]*[=()\[\]\"'][^\n]*", r"[ \t]*[\w.]+\([^\n]*\)[ \t;]*", r"[ \t]*</?[A-Za-z][^>\n]*>[^\n]*",
     r"[^\n]*(?:\.{4,}|_{3,}|\[[ \t_]+\])[^\n]*", r"[ \t]*(?:Q|A)\d+[).:]?[ \t][^\n]*",  # forms and answer keys
     r"[^\n.!?]{1,60}:[ \t]*[-+]?[\d.,]+[ \t]*%?[ \t]*", r"[^\n.!?:]{1,40}:[ \t]*(?:true|false|null|none|yes|no)[ \t]*",
     rf"(?![^\n]*«)(?:(?:(?!{_SEP})[^\n]){{1,90}}(?:{_SEP})){{2}}[^\n]*",  # menus and columns
@@ -76,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     A part consists of whole lines or segments. ends tells which chunks of a document hold the end of a paragraph, null
     where there is one chunk only.
     """
-    text = F.translate(visible(F.coalesce("text", F.lit(""))), CUT + ON + WITHIN, "")
+    text = F.translate(F.coalesce("text", F.lit("")), INVISIBLE + CUT + ON + WITHIN, "")
     whole = text.endswith("\n")
     d = docs.select("doc_id", F.when(whole, text).otherwise(F.concat(text, F.lit("\n"))).alias("text"), whole.alias("whole"))
     begin = rf"(?:\A|(?<=\n)|\G)(?=[^\n]{{{REACH + 1}}})(?:[^\n]{{1,{REACH - 1}}}[ \t]|[^\n]{{{REACH}}})"
@@ -143,7 +144,7 @@ def statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
     by_lang = [[r["word"] for r in rows if r["lang"] == lang] for lang in sorted({r["lang"] or "" for r in rows})]
     col, zero = F.col, F.lit(0)
     f = fragments(docs)
-    f = f.withColumn("q", F.when(col("p").rlike(f"[{CUT}{ON}{WITHIN}]"), F.translate("p", CUT + ON + WITHIN, "")).otherwise(col("p")))
+    f = f.withColumn("q", F.when(col("p").contains(CUT) | col("p").contains(ON) | col("p").contains(WITHIN), F.translate("p", CUT + ON + WITHIN, "")).otherwise(col("p")))
     f = f.withColumn("u", F.regexp_replace("q", STRUCTURE, "")).withColumn("n_items", F.regexp_count("u", F.lit(ITEM)))
     f = f.withColumn("rest", F.when(col("n_items") > 0, F.regexp_replace("u", ITEM, "")).otherwise(col("u")))
     f = f.withColumn("items", F.when(col("n_items") > 0, F.array_join(F.regexp_extract_all("u", F.lit(ITEM), F.lit(0)), "")).otherwise(""))
@@ -159,11 +160,13 @@ def statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
     of_list = lambda c, ws: F.size(F.filter(c, lambda w: w.isin(ws)))
     heard = lambda c: {"listed": F.size(c)} | {f"in{i}": of_list(c, ws) for i, ws in enumerate(by_lang)}
     spoken = {s: {k: col(f"{s}_{k}") for k in names} | heard(col(f"{s}_common")) for s in "ri"}
+    # Asked only of short paragraphs, and of fragments that may be the end of one.
+    ended = (col("paragraph").isNotNull() | (col("r_words") < FEW)) & col("p").rlike(rf"{SENTENCE_END}\s*$")
     f = f.select(
         "doc_id", "chunk", "paragraph", "n_items", col("q_shown").alias("shown"), (col("q_words") - cut_words).alias("words"),
         (col("q_letters") - col("q_unspaced_letters")).alias("word_letters"), col("q_unspaced").alias("unspaced"), col("q_plain").alias("symbols"),
         F.size("q_common").alias("common"), F.regexp_count("p", F.lit(rf"(?m)^(?![{ON}{WITHIN}]).*\S.*$")).alias("lines"),
-        F.regexp_count("p", F.lit(rf"(?m){SENTENCE_END}[ \t]*$")).alias("ended_lines"), F.col("p").rlike(rf"{SENTENCE_END}\s*$").alias("ended"),
+        F.regexp_count("p", F.lit(rf"(?m){SENTENCE_END}[ \t]*$")).alias("ended_lines"), ended.alias("ended"),
         *[v.alias(f"{s}_{k}") for s in "ri" for k, v in spoken[s].items()],
     )
     figures = ["shown", "words", "word_letters", "unspaced", "symbols", "common", "lines", "ended_lines"]
