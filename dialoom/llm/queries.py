@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoom.functions.normalize import INVISIBLE, UNSPACED
 from dialoom.llm import leakage, mixing, overlap, packing, quality, repetition, sampling, sentences, splits
+from dialoom.llm.records import STAND_INS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": splits.p1_found,
@@ -36,6 +38,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SOURCE = "nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g'), '')"
 
+_SPLIT, _CATEGORY = (f"regexp_extract({{0}}, '^(.+)_([a-z]+)_(\\d+)$', {k})" for k in (1, 2))
+# What differs under compatibility composition in these tables: full-width letters and digits, and one Thai vowel.
+_WIDE = "".join(map(chr, (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))))
+_PLAIN = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_FORM = f"nfc_normalize(replace(translate({{0}}, '{_WIDE}', '{_PLAIN}'), '\u0e33', '\u0e4d\u0e32'))"
+_KEY = f"regexp_replace(lower({_FORM}), '[^\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{M}}}}]+', '', 'g')"
+_QUESTIONS = "list_value(regexp_replace(core_question, '(?is)\\(\\s*secondary\\s*:.*$', ''), regexp_extract(core_question, '(?is)\\(\\s*secondary\\s*:(.*)\\)[^)]*$', 1))"
+_MISSING = "'', " + ", ".join(f"'{x}'" for x in STAND_INS)
+_HIDDEN = f"regexp_replace({{0}}, '[{INVISIBLE}]+', '', 'g')"
+_WORDS = (
+    f"regexp_extract_all(regexp_replace(lower({_FORM.format(_HIDDEN)}), '([{UNSPACED}]\\p{{{{M}}}}*)', ' \\1 ', 'g'), '[\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{M}}}}]+')"
+)
+
+
+def _passed_on(source: str, over: str, into: str, out: str) -> str:
+    """Rows of source with what each takes over of the unmet rows of its group; what is left stays with the group's first row."""
+    return f"""{out}a as (select *, sum(spare) over (partition by {over}) as s, sum(unmet) over (partition by {over}) as u,
+        sum(spare) over (partition by {over} order by category) as r, row_number() over (partition by {over} order by category) as k from {source}),
+      {out}b as (select *, case when s > 0 then floor(r * least(u, s) / s) else 0 end as upto from {out}a),
+      {out} as (select * exclude (spare, unmet, s, u, r, k, upto), cast(upto - lag(upto, 1, 0) over (partition by {over} order by category) as bigint) as {into},
+        spare - (upto - lag(upto, 1, 0) over (partition by {over} order by category)) as spare, case when k = 1 then u - least(u, s) else 0 end as unmet from {out}b)"""
+
+
 # The others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """with ids as (select distinct id, regexp_extract(id, '^(.+)_([a-z]+)_(\\d+)$', 1) as split,
@@ -43,6 +68,26 @@ ORACLE_SQL: dict[str, str] = {
       have as (select split, category, count(*) as n from ids group by 1, 2)
       select distinct t.split, t.category from category_targets t left join have h on h.split = t.split and h.category = t.category
       where coalesce(h.n, 0) < greatest(coalesce(min_rows, 0)::double, coalesce(target_share * sample_rows, 0))""",
+    # A record's splits go along its keys to other records until nothing is new.
+    "p1_found": f"""with recursive r as (select id, topic, core_question from convs union select id, topic, core_question from blueprints),
+      k as (select id, 't' as kind, topic as x from r union all select id, 'q', unnest({_QUESTIONS}) from r),
+      e as (select distinct id, kind || ':' || {_KEY.format('x')} as key from k where {_KEY.format('x')} not in ({_MISSING})),
+      reach(node, split) as (select id, {_SPLIT.format('id')} from e union select case when e.id = reach.node then e.key else e.id end, split
+        from reach join e on e.id = reach.node or e.key = reach.node)
+      select id from (select distinct id from e) i join reach on node = id group by id having count(distinct split) > 1""",
+    "p5_report": f"""with have as (select {_SPLIT.format('id')} as split, {_CATEGORY.format('id')} as category, count(distinct id) as n from convs group by 1, 2),
+      w as (select t.split, t.category, coalesce(n, 0) as available, greatest(coalesce(min_rows, 0)::double, coalesce(target_share * sample_rows, 0)) as want,
+        case when t.category in ('howto', 'factual', 'math') then 'task' when t.category in ('emotional', 'meta', 'smalltalk') then 'talk' else 'other' end as parent
+        from category_targets t left join have h on h.split = t.split and h.category = t.category),
+      o as (select *, least(available, cast(ceil(want) as bigint)) as own from w),
+      x as (select *, cast(ceil(want) as bigint) - own as unmet, available - own as spare from o),
+      {_passed_on('x', 'split, parent', 'from_siblings', 'y')}, {_passed_on('y', 'split', 'from_cousins', 'z')}
+      select split, category, available, want, own, from_siblings, from_cousins, own + from_siblings + from_cousins as quota, available >= want as met from z""",
+    "p6_found": f"""with t as (select distinct id, {_WORDS.format('turn')} as w from (select id, unnest(turns) as turn from blueprints)),
+      m as (select distinct id, {_WORDS.format('m.content')} as w from (select id, unnest(messages) as m from convs where {_SPLIT.format('id')} = 'train')),
+      a as (select id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i : i + 9], ' '))) as run from t where len(w) >= 10),
+      b as (select id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i : i + 9], ' '))) as run from m where len(w) >= 10)
+      select distinct a.id as id_a, b.id as id_b from a join b using (run)""",
     "p7_found": """select distinct plan_name, doc_id from documents, pack_plan
       where coalesce(octet_length(encode(text)), 0) > capacity_tokens""",
     "p8_found": f"""with d as (select {_SOURCE} as s, sum(coalesce(octet_length(encode(text)), 0)) as n from documents group by 1)
