@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm.records import table
-from dialoom.operators.scale import cut, ranked
+from dialoom.operators.assemble import shuffled
+from dialoom.operators.scale import cut
 
 SEED = 20240817
 
@@ -57,10 +58,10 @@ def mix(docs: DataFrame, rated: DataFrame, seed: int = SEED) -> DataFrame:
     permutation document r (from 1) gets floor(r * due + u) - floor((r - 1) * due + u) copies, so never more than
     max_repeats, and the total number of copies is within one of what is due.
     """
-    placed = ranked(docs.filter(F.col("source").isNotNull()), ["source"], [F.col("doc_id")], "rank")
+    placed = shuffled(docs.filter(F.col("source").isNotNull()), ["source"], "doc_id", str(seed), "rank")
     # A row a (mix, source) of the plan, whatever the size of the data.
     r = F.broadcast(rated.select("mix_name", "source", "due"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source"), F.lit(1_000_000)) / 1_000_000
+    u = F.conv(F.left(F.md5(F.concat_ws("|", "mix_name", "source", F.lit(seed))), F.lit(8)), 16, 10).cast("bigint") / F.lit(2.0**32)
     upto = lambda k: F.floor(k * F.col("due") + u)
     copies = upto(F.col("rank")) - upto(F.col("rank") - 1)
     return placed.join(r, "source").select("mix_name", "doc_id", "source", "tokens", copies.cast("int").alias("copies")).filter("copies > 0")

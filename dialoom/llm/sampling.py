@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from dialoom.llm.records import category_of, split_of, table
-from dialoom.operators.scale import cut, ranked
+from dialoom.operators.assemble import shuffled
+from dialoom.operators.scale import cut
+
+#: Seed of the permutation that rows are drawn along.
+SEED = "sample"
 
 # The parent of each category in the tree.
 PARENTS = {
@@ -69,7 +73,7 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draw(members: DataFrame, quotas: DataFrame) -> DataFrame:
     """The rows of members(id, split, category) whose permuted rank within their cell is within the cell's quota."""
-    placed = ranked(members, ["split", "category"], [F.col("id")], "rank")
+    placed = shuffled(members, ["split", "category"], "id", SEED, "rank")
     q = F.broadcast(quotas.select("split", "category", "quota"))  # a row a cell of the target table
     return placed.join(q, ["split", "category"]).filter(F.col("rank") <= F.col("quota")).select(*members.columns)
 
