@@ -40,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by the hash of key, if a file of few row groups would leave most of them idle; else as it is.
+
+    For work per row that costs far more than moving the row. Tables of as many parts as cores are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, parts) for keys with more than hot_rows rows: at most rows/hot_rows of them, so small by construction."""
     return (

@@ -140,3 +140,9 @@ def test_preceding_list_across_blocks(spark):
     got = {r.rn: r.before for r in assemble.preceding_list(df, "g", "v", 8, 5, block=10).collect()}
     assert got == {i: [f"v{j}" for j in range(max(1, i - 8), i)][-5:] for i in range(1, 60)}
     assert assemble.with_size(300, (10, 400)) == (10, 300)
+
+
+def test_spread_moves_only_tables_of_few_parts(spark):
+    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=9)
+    assert scale.spread(few, "id").rdd.getNumPartitions() == 4 and scale.spread(many, "id") is many
+    assert sorted(r.id for r in scale.spread(few, "id").collect()) == list(range(100))
