@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.normalize import grams, words
 from dialoom.llm.records import split_of, table
-from dialoom.operators.scale import BROADCAST_ROWS, cut, salted_join
+from dialoom.operators.scale import BROADCAST_ROWS, cut, salted_join, spread
 
 #: Consecutive words that make a leak.
 WINDOW = 10
@@ -122,7 +122,7 @@ def turn_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "convs").filter(split_of(F.col("id")) == "train")
+    c = spread(table(spark, sf_dir, "convs").select("id", "messages").filter(split_of(F.col("id")) == "train"), "id")
     return c.select(F.col("id").alias("doc"), F.posexplode("messages").alias("pos", "m")).select("doc", "pos", F.col("m.content").alias("text"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.normalize import INVISIBLE, UNSPACED
 from dialoom.llm.records import table
+from dialoom.operators.scale import spread
 
 #: Characters a chunk; and how far a line reaches before it is cut into segments, each judged as a line.
 CHUNK, REACH = 8192, 2048
@@ -208,7 +209,8 @@ def statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document."""
-    return statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return statistics(docs, table(spark, sf_dir, "common_words"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions.normalize import UNSPACED, let
 from dialoom.llm.records import table
+from dialoom.operators.scale import spread
 
 TERMINATORS = ".!?…。！？؟।॥．｡"
 PLACEHOLDERS = "".join(chr(0xE001 + i) for i in range(len(TERMINATORS)))
@@ -174,7 +175,7 @@ def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "convs").select("id", F.posexplode("messages").alias("pos", "m"))
+    c = spread(table(spark, sf_dir, "convs").select("id", "messages"), "id").select("id", F.posexplode("messages").alias("pos", "m"))
     return c.select("id", "pos", F.col("m.content").alias("text"))
 
 
