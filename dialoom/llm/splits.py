@@ -30,13 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select("id", "key").filter(F.col("id").isNotNull() & F.col("key").isNotNull()).distinct()
     live = cut(edges.withColumnRenamed("id", "node"))
+    n = edge_rows = live.count()
     ids = live.select(F.col("node").alias("id"), "node").distinct()
     moves: list[DataFrame] = []
     while True:
         # Another order of the nodes each round, so that no chain of ids is in order.
         place = F.struct(F.xxhash64(F.lit(len(moves)), "node").alias("h"), F.col("node").alias("node"))
         keys = live.groupBy("key").agg(F.min(place).alias("to"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        live = cut(salted_join(live, keys.filter("lo <> hi").select("key", "to"), "key"))
+        live = cut(salted_join(live, keys.filter("lo <> hi").select("key", "to"), "key", rows=n))
         n = live.count()
         if not n:
             break
@@ -49,9 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
         live = cut(live.select(F.coalesce("to", "node").alias("node"), "key").distinct())
     out = ids
     for step in moves:
-        out = salted_join(out, step, "node", "left").select("id", F.coalesce("to", "node").alias("node"))
+        out = salted_join(out, step, "node", "left", rows=edge_rows).select("id", F.coalesce("to", "node").alias("node"))
     out = cut(out)
-    return salted_join(out, out.groupBy("node").agg(F.min("id").alias("component")), "node").select("id", "component")
+    return salted_join(out, out.groupBy("node").agg(F.min("id").alias("component")), "node", rows=edge_rows).select("id", "component")
 
 
 class Flow:
