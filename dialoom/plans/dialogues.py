@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from dialoom.functions import judge_text as jt
 from dialoom.operators import assemble, judge, metrics, validate
 from dialoom.operators.scale import salted_join
-from dialoom.plans.registry import SIZES, category_of, conv_ids, index_of, one_conv, query, split_of, verdict_rows
-from dialoom.sources.readers import table
+from dialoom.plans.registry import SIZES, category_of, conv_ids, one_conv, query, split_of, verdict_rows
+from dialoom.sources.readers import checkpoints, table
 
 # Small dimensions of the queries below: parameters, not data.
 SHIFTING = ("factual", "math", "emotional", "howto")
@@ -69,6 +69,15 @@ def category_table(s, d):
     return a.join(metrics.robustness(rows, by).select(*by, "robustness", "n_clean"), by)
 
 
+@query
+def model_table(s, d):
+    """Adherence and robustness of each model, by the trailing number of its name, which is the step."""
+    rows = verdict_rows(s, d)
+    a = metrics.adherence(rows, [["model_slug"]]).select("model_slug", "adherence", F.col("n_judged").alias("n_responses"), F.col("n_errors").alias("judge_errors"))
+    j = a.join(metrics.robustness(rows, ["model_slug"]).select("model_slug", "robustness", "n_clean"), "model_slug")
+    return checkpoints(j, "model_slug")
+
+
 @query
 def probe_rates(s, d):
     """Shares of replies that keep the form, leak, and are clean, by model."""

@@ -175,6 +175,11 @@ SQL: dict[str, str] = {
       a as (select model_slug, category, count(*) filter ({_JUDGED} and passed) / greatest(1, count(*) filter ({_JUDGED})) as adherence,
         count(*) filter ({_JUDGED}) as n_responses, count(*) filter (not {_JUDGED}) > 0 as partial from v group by 1, 2)
       select * from a join r using (model_slug, category)""",
+    "model_table": f"""with {_LATEST}, {_OUT}, r as (select model_slug, count(*) filter (not any_error) as n_clean,
+        count(*) filter (not any_error and all_passed) / greatest(1, count(*) filter (not any_error)) as robustness from scen group by 1),
+      a as (select model_slug, count(*) filter ({_JUDGED} and passed) / greatest(1, count(*) filter ({_JUDGED})) as adherence,
+        count(*) filter ({_JUDGED}) as n_responses, count(*) filter (not {_JUDGED}) as judge_errors from v group by 1)
+      select *, coalesce(try_cast(regexp_extract(model_slug, '(\\d+)$', 1) as bigint), -1) as step from a join r using (model_slug)""",
     "probe_rates": f"""with {_LATEST} select model_slug, count(*) filter (syntax_pass) / count(*) as syntax_rate, count(*) filter (not leak_pass) / count(*) as leak_rate,
       count(*) filter (passed) / count(*) as clean_rate from v group by model_slug""",
     "best_day": f"""with {_LATEST}, daily as (select strftime(judged_at at time zone 'UTC', '%Y-%m-%d') as day, count(*) filter (passed) / count(*) as share

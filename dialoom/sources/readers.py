@@ -27,6 +27,30 @@ def documents(spark: SparkSession, path: str, schema: str, pattern: str = "*.jso
     )
 
 
+def in_name_order(docs: DataFrame) -> DataFrame:
+    """Documents in the order of their files' names."""
+    return docs.orderBy("file_name")
+
+
+def verdict_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(verdict_key, leak, reason) of a stored cache {key: {leak, reason}}, which may be several files.
+
+    A file that cannot be read is moved aside as *.corrupt and counts as empty; so does a missing path.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return spark.createDataFrame([], "verdict_key string, leak boolean, reason string")
+    text = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    doc = text.select("file", F.from_json("value", "map<string, struct<leak: boolean, reason: string>>", {"mode": "PERMISSIVE"}).alias("m"))
+    for r in doc.filter("m is null").select("file").collect():  # as many rows as broken files
+        broken = spark._jvm.org.apache.hadoop.fs.Path(r["file"])
+        fs.rename(broken, broken.suffix(".corrupt"))
+    rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True) if fs.exists(p) else text.limit(0)
+    m = rows.select(F.explode(F.from_json("value", "map<string, struct<leak: boolean, reason: string>>")).alias("verdict_key", "v"))
+    return m.select("verdict_key", "v.leak", "v.reason")
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*", prefix: int = 16) -> DataFrame:
     """(file_name, sha): the first hexadecimal digits of the content's SHA-256."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

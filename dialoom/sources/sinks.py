@@ -58,3 +58,21 @@ def markdown(df: DataFrame, percents: tuple[str, ...] = (), limit: int = 1000) -
     show = lambda c, v: "-" if v is None else f"{v:.1%}" if c in percents else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(c, r[c]) for c in df.columns) + " |" for r in rows]) + "\n"
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Appends metric rows, a JSON object a line; what is no finite number is kept as null and marked."""
+    numbers = [c for c, kind in rows.dtypes if kind in ("double", "float")]
+    odd = F.array_compact(F.array(*[F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(c)) for c in numbers], F.lit(None).cast("string")))
+    finite = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)) for c in numbers}
+    rows.withColumn("not_finite", odd).withColumns(finite).write.mode("append").json(path)
+
+
+def dataset_card(records: DataFrame, title: str) -> str:
+    """A Markdown card of records(id, status, regens, messages): counts by split and category, messages and regenerations."""
+    part = lambda k: F.regexp_extract("id", r"^(.+)_([a-z]+)_(\d+)$", k)
+    n = F.coalesce(F.size(F.coalesce("messages", F.array().cast("array<struct<role: string, content: string>>"))), F.lit(0))
+    by = records.groupBy(part(1).alias("split"), part(2).alias("category")).agg(
+        F.count("*").alias("records"), F.count_if(F.col("status") == "ok").alias("kept"), F.sum(n).alias("messages"), F.sum(F.coalesce("regens", F.lit(0))).alias("regenerated")
+    )
+    return f"# {title}\n\n" + markdown(by.orderBy("split", "category"))

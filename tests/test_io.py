@@ -83,3 +83,33 @@ def test_inbox_retires_old_versions(spark, tmp_path):
         inbox.drain(spark, box, state, check)
     assert {r.id: (r.versions, r.n_turns) for r in inbox.read_state(spark, state).collect()} == {f"d{i}": (6, 5) for i in range(3)}
     assert len([d for d in os.listdir(state) if d.startswith("v")]) == 2
+
+
+def test_verdict_cache_and_its_quarantine(spark, tmp_path):
+    assert readers.verdict_cache(spark, str(tmp_path / "none")).count() == 0
+    d = tmp_path / "cache"
+    os.mkdir(d)
+    (d / "a.json").write_text(json.dumps({"k1": {"leak": True, "reason": "told"}, "k2": {"leak": False, "reason": ""}}))
+    (d / "b.json").write_text("{broken")
+    got = {r.verdict_key: (r.leak, r.reason) for r in readers.verdict_cache(spark, str(d)).collect()}
+    assert got == {"k1": (True, "told"), "k2": (False, "")}
+    assert sorted(x for x in os.listdir(d) if not x.startswith(".")) == ["a.json", "b.json.corrupt"]
+
+
+def test_metrics_and_card(spark, tmp_path):
+    m = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, float("inf")), (4, None)], "step int, loss double")
+    sinks.append_metrics(m, str(tmp_path / "m"))
+    sinks.append_metrics(m.limit(1), str(tmp_path / "m"))
+    rows = spark.read.schema("step int, loss double, not_finite array<string>").json(str(tmp_path / "m")).collect()
+    assert sorted((r.step, r.loss, tuple(r.not_finite)) for r in rows if r.loss or r.step < 4) == [(1, 0.5, ()), (1, 0.5, ()), (2, None, ("loss",)), (3, None, ("loss",))]
+    c = spark.createDataFrame([("train_math_00001", "ok", 2, [("user", "a"), ("assistant", "b")]), ("train_math_00002", None, None, None)],
+                              "id string, status string, regens int, messages array<struct<role: string, content: string>>")
+    assert sinks.dataset_card(c, "T").splitlines()[-1] == "| train | math | 2 | 1 | 2 | 2 |"
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from dialoom.__main__ import main
+
+    assert main(["list"]) == 0 and "category_counts" in capsys.readouterr().out
+    assert main(["run", "category_counts", sf, "--out", str(tmp_path / "o"), "--format", "json"]) == 0 and spark.read.json(str(tmp_path / "o")).count() > 0
+    assert main(["run", "distinct_categories", sf]) == 0 and main(["card", sf]) == 0 and "| train |" in capsys.readouterr().out
