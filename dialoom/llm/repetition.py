@@ -3,7 +3,8 @@
 Document statistics come from SQL: shares of distinct words, pairs, triples and sentences, of words repeated in place, and
 size. Gradient-boosted trees, trained here on a bounded sample with exact labels, map them to the share of repeated words.
 The trees are flattened into numpy node arrays and score Arrow batches; the shares of distinct n-grams are constrained to
-act in one direction only. The score decides; the exact share is the label the trees learn and the measure of their error.
+act in one direction only. The score decides, except close to the limit, where the words are counted after all; the exact
+share is also the label the trees learn.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from dialoom.llm.sentences import message_texts
 
 #: Rows the model is fitted on: a sample by hash of texts up to TRAIN_CHARS characters, and as many made repetitive from it.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 4000
-#: Score, a modelled share of repeated words, beyond which a document is found.
-LIMIT = 0.5
+#: Score, a modelled share of repeated words, beyond which a document is found; and how close to it the words are counted.
+LIMIT, UNSURE = 0.5, 0.15
 #: Words a phrase must have to count as repeated, in spaced and unspaced scripts.
 PHRASE, PHRASE_UNSPACED = 3, 6
 FEATURES = ("distinct_words", "distinct_pairs", "distinct_phrases", "distinct_lines", "in_place", "log_words", "unspaced")
@@ -197,13 +198,17 @@ def _score(model: Trees, keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             d = d[d["said"] > 1].reset_index(drop=True)
-            yield d[keys].assign(score=np.clip(model.predict(d[list(FEATURES)].to_numpy(float)), 0, 1))
+            score = np.clip(model.predict(d[list(FEATURES)].to_numpy(float)), 0, 1)
+            close = (np.abs(score - LIMIT) <= UNSURE) & d["joined"].notna().to_numpy()
+            share = score.copy()
+            share[close] = [repeated_share(t.split(" ")) for t in d["joined"][close]]
+            yield d[keys].assign(score=score, found=share > LIMIT)
 
     return run
 
 
 def repetition(docs: DataFrame, keys: list[str], model: Trees | None = None) -> DataFrame:
-    """keys, score, found: the modelled share of repeated words, and whether it is over LIMIT.
+    """keys, score, found: the modelled share of repeated words, and whether more than LIMIT of them repeat.
 
     docs: keys and text. Null and blank texts, and texts of fewer than two words, cannot repeat and give no row. Repeated
     rows are scored each. Extra columns are ignored.
@@ -213,13 +218,14 @@ def repetition(docs: DataFrame, keys: list[str], model: Trees | None = None) ->
     d = d.select(*keys, "text", words(F.col("text")).alias("w0"))
     # Texts of fewer than two words go out in the scoring; a filter here would find the words twice.
     d = features(d.select(*keys, "text", F.size("w0").alias("said"), _no_numbers("w0").alias("w")))
+    # Of a text in which a quarter of the words repeats, a tenth of the pairs do, or of the words in place.
+    joined = F.when((F.col("distinct_pairs") < 0.9) | (F.col("in_place") > 0.1), F.array_join("w", " ")).alias("joined")
     kinds = dict(docs.dtypes)
-    scored = d.select(*keys, "said", *FEATURES).mapInPandas(_score(model, keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double")
-    return scored.withColumn("found", F.col("score") > LIMIT)
+    return d.select(*keys, "said", *FEATURES, joined).mapInPandas(_score(model, keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double, found boolean")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of which, by the trees' score, more than half of the words only repeat."""
+    """Messages of which, by the trees' score and close to the limit by count, more than half of the words only repeat."""
     return repetition(message_texts(spark, sf_dir), ["id", "pos"]).filter("found").select("id", "pos").distinct()
 
 
