@@ -10,6 +10,7 @@ from dialoom.functions.normalize import match_key
 from dialoom.functions.normalize import words as word_column
 from dialoom.llm import leakage, overlap, splits
 from dialoom.llm.records import tie_keys
+from dialoom.operators import scale
 
 from .helpers import CONV, PLAN, edit_in, groups, lcs, words
 
@@ -204,6 +205,22 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     assert sorted(map(str, leakage.leaked_passages(items, corpus).collect())) == want and want
 
 
+def test_hot_passages_and_texts(spark, monkeypatch):
+    """One passage in most messages and one text near most others, with keys split from a hundred rows on."""
+    say = " ".join(SAY[:14])
+    items = spark.createDataFrame([(i, say if i < 3 else f"{say} {i}") for i in range(6)], "item bigint, text string")
+    corpus = spark.createDataFrame([(i, 0, f"m{i} {say}" if i % 4 else f"m{i}") for i in range(1200)], "doc bigint, pos int, text string")
+    texts = [(0, i, f"{say} e{i}") for i in range(20)] + [(1, i, f"{say} t{i}") for i in range(400)] + [(1, 900, " ".join(SAY[14:]))]
+    df = spark.createDataFrame(texts, "side int, class bigint, text string")
+    want = {(i, d) for i in range(6) for d in range(1200) if d % 4}
+    for hot in (100, 10**6):
+        monkeypatch.setattr(scale.salted_join, "__defaults__", ("inner", hot, None))
+        for rows in (0, 10**6):
+            monkeypatch.setattr(leakage, "BROADCAST_ROWS", rows)
+            assert {(x.item, x.doc) for x in leakage.leaked_passages(items, corpus).collect()} == want
+        assert {(x.class_a, x.class_b) for x in overlap.near_pairs(df).collect()} == {(i, j) for i in range(20) for j in range(400)}
+
+
 def test_leak_query(spark, folder):
     turn = " ".join(SAY[:12])
     c = spark.createDataFrame([
