@@ -25,6 +25,8 @@ TRAIN_ROWS, TRAIN_CHARS = 3000, 4000
 LIMIT, UNSURE = 0.5, 0.15
 #: Words a phrase must have to count as repeated, in spaced and unspaced scripts.
 PHRASE, PHRASE_UNSPACED = 3, 6
+#: What ends a sentence, for the share of distinct ones.
+STOPS = ".!?…。！？؟।"
 FEATURES = ("distinct_words", "distinct_pairs", "distinct_phrases", "distinct_lines", "in_place", "log_words", "unspaced")
 #: Direction in which a feature may move the score: more distinct parts never raise it, more in-place repeats never lower it.
 MONOTONE = (0, -1, -1, -1, 1, 0, 0)
@@ -34,17 +36,16 @@ def features(docs: DataFrame) -> DataFrame:
     """Adds the statistics to docs(..., text, w), w being the words; all from built-in functions."""
     n = F.size("w")
     ratio = lambda a: let(a, lambda x: F.when(F.size(x) > 0, F.size(F.array_distinct(x)) / F.size(x)).otherwise(F.lit(1.0)))
-    lines = F.filter(
-        F.transform(F.split("text", rf"[\n.!?…。！？؟।]+|(?<=[฀-๿]) +"), lambda s: F.regexp_replace(F.lower(s), r"[^\p{L}\p{M}]+", "")),
-        lambda s: s != "",
-    )
+    unspaced = F.col("text").rlike(rf"[\x{{e00}}-\x{{faff}}&&[{UNSPACED}]]")
+    thai = F.regexp_replace("text", r"(?<=[\x{e00}-\x{e7f}]) +", "\n")
+    ends = F.translate(F.when(unspaced, thai).otherwise(F.col("text")), STOPS, "\n" * len(STOPS))
+    lines = F.filter(F.split(F.regexp_replace(F.lower(ends), r"[^\p{L}\p{M}\n]+", ""), "\n"), lambda s: s != "")
     hashed = F.transform("w", lambda x: F.xxhash64(x))
     d = docs.withColumn("__h", hashed).withColumn("__l", F.transform(lines, lambda s: F.xxhash64(s)))
     same = let(
         F.col("__h"),
         lambda h: F.size(F.filter(F.transform(h, lambda x, i: (i > 0) & (x == F.try_element_at(h, F.greatest(i, F.lit(1))))), lambda b: b)),
     )
-    unspaced = F.col("text").rlike(rf"[\x{{e00}}-\x{{faff}}&&[{UNSPACED}]]")
     return d.select(
         *docs.columns,
         ratio(F.col("__h")).alias("distinct_words"),
