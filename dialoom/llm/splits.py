@@ -150,9 +150,38 @@ def quotas_by_flow(bundles: list[tuple], shares: dict[str, float]) -> dict[str,
             for k in shares:
                 carry[label, k] += given[label, k] - got[k] * n
         out[name] = got
+    _even_out(out, order[::-1], carry, list(shares))
     return out
 
 
+def _even_out(out: dict[str, dict[str, int]], smallest_first: list[tuple], carry: dict, splits: list[str]) -> None:
+    """Moves small components from splits with too many rows in all to those with too few, of fitting labels first.
+
+    Labels of large components only cannot make up for each other; the split as a whole can, and counts for more.
+    """
+    labels = sorted({label for label, _ in carry})
+    off = {k: sum(carry[label, k] for label in labels) for k in splits}
+    for size in sorted({b[1] for b in smallest_first}):
+        least = [b for b in smallest_first if b[1] == size]
+        while True:
+            low, high = max(splits, key=lambda k: off[k]), min(splits, key=lambda k: off[k])
+            most = int(min(off[low], -off[high]) // size)
+            fit = lambda b: sum(n * (carry[label, low] - carry[label, high]) for label, n in b[3]) / b[1]
+            open_ = [b for b in least if out[b[0]][high]]
+            if most < 1 or not open_:
+                break
+            name, _, _, profile = max(open_, key=lambda b: (fit(b), b[0]))
+            # A part at a time, so that the labels share the load.
+            move = min(out[name][high], max(1, most // max(1, len(open_))))
+            out[name][high] -= move
+            out[name][low] += move
+            off[low] -= move * size
+            off[high] += move * size
+            for label, n in profile:
+                carry[label, low] -= move * n
+                carry[label, high] += move * n
+
+
 def assign_splits(members: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     """(id, component, assigned_split) for members(id, component, label): no component is divided.
 

@@ -69,6 +69,31 @@ def test_assigned_splits(spark):
     assert splits.assign_splits(spark.createDataFrame([], "id string, component string, label string")).count() == 0
 
 
+def test_quotas_beside_a_giant(spark):
+    """A component of a third of all rows is whole, and the others make up for it in every split and label."""
+    r = random.Random(2)
+    rows = [(f"g{i}", "giant", r.choice("abc")) for i in range(1500)]
+    while len(rows) < 4500:
+        c, size = f"c{len(rows)}", min(40, int(r.paretovariate(1.2)))
+        rows += [(f"r{len(rows)}x{j}", c, r.choice("aaabbc") if size < 9 else "d") for j in range(size)]
+    got = splits.assign_splits(spark.createDataFrame(rows, "id string, component string, label string")).collect()
+    of, label = {x.id: x.assigned_split for x in got}, {i: v for i, _, v in rows}
+    assert len(of) == len(rows) and len({of[i] for i, c, _ in rows if c == "giant"}) == 1
+    whole, cell = Counter(of.values()), Counter((of[i], label[i]) for i in of)
+    for k, share in splits.SHARES.items():
+        assert abs(whole[k] - round(share * len(rows))) <= 1  # the rounded quotas need not add up to all rows
+        for v, n in Counter(label.values()).items():  # label d has only components of 9 to 40 rows, half of one may be off
+            assert abs(cell[k, v] - share * n) <= max(0.02 * n, 40 / 2) + 1
+
+
+def test_few_labels_have_quotas(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LABELS", 2)
+    rows = [(f"r{i}", f"c{i // 2}", f"l{i % 7}") for i in range(200)]
+    got = splits.assign_splits(spark.createDataFrame(rows, "id string, component string, label string")).collect()
+    n = Counter(x.assigned_split for x in got)
+    assert n == {"train": 160, "validation": 20, "test": 20}
+
+
 def test_found_across_splits(spark, folder):
     c = spark.createDataFrame([
         ("train_math_00001", "T", "q1", None, None, None, 1), ("train_math_00002", None, "Q1!", None, None, None, 1), ("train_math_00002", None, "Q1!", None, None, None, 1),
