@@ -183,6 +183,36 @@ def test_recall_in_every_cell(spark, monkeypatch, limit):
     assert {cell[i] for i, j in want if i == j} >= {(n, s) for n, s in cell if s <= 0.23}
 
 
+def test_few_meetings_in_any_pieces(spark, monkeypatch):
+    """Of all meetings of two prefixes few are looked at, no pair over the bound is lost, and sizes of pieces and rounds change nothing."""
+    r = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(150)]
+    texts = [[r.choice(vocabulary) for _ in range(r.randint(30, 120))] for _ in range(150)]
+    texts += [changed(r, w, 0.2, f"x{i}") for i, w in enumerate(texts)]
+    rows = [(k % 2 if k < 150 else 1 - k % 2, k, " ".join(w)) for k, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "side int, class bigint, text string")
+    want = {(i, j) for s, i, _ in rows for t, j, _ in rows if s < t and overlap.word_lcs(texts[i], texts[j]) >= 0.75 * max(len(texts[i]), len(texts[j]))}
+    sets = df.select("side", "class", overlap.occurrences(F.split("text", " ")).alias("set"))
+    both = sets.select("side", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("df"), F.countDistinct("side").alias("n")).filter("n = 2").drop("n")
+    d = overlap.prefixes(sets, both).toArrow().to_pandas()
+    a, b = (overlap.pa.Table.from_pandas(d[d["side"] == k], preserve_index=False) for k in (0, 1))
+    index, entries = overlap._index(a), overlap._entries(b)
+    meetings, looked = overlap._meetings, []
+    monkeypatch.setattr(overlap, "_meetings", lambda a, b, start, count, e: (looked.append(int(count.sum())), meetings(a, b, start, count, e))[1])
+    found = []
+    for pieces in ((10**6, 10**6), (7, 5), (1000, 1)):
+        monkeypatch.setattr(overlap, "PROBES", pieces[0])
+        monkeypatch.setattr(overlap, "MEETINGS", pieces[1] * 100)
+        found.append({(int(index["class"][i]), int(entries["class"][j])) for x, y in overlap._meet(index, entries) for i, j in zip(x, y)})
+        if len(found) == 1:
+            n = [Counter(g for gs in x["gs"].to_pylist() for g in gs) for x in (a, b)]
+            assert 0 < sum(looked) < sum(n[0][g] * n[1][g] for g in n[0]) / 2
+    assert found[0] == found[1] == found[2] and found[0] >= want and len(want) >= 140
+    monkeypatch.undo()
+    monkeypatch.setattr(overlap, "TILE", 1000)
+    assert {(x.class_a, x.class_b) for x in overlap.near_pairs(df).collect()} == want
+
+
 def test_overlap_query(spark, folder):
     text = " ".join(SAY)
     m = lambda t: [("user", t), ("assistant", "so?"), (None, None), ("user", None)]
